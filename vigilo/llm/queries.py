@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vigilo.llm.common import scratch_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilo.llm.bpe import encode, read_blocks
+
+    docs = read_blocks(spark, f"{sf_dir}/documents.parquet")
+    return encode(docs, BYTE_RANKS, F.col("block"), digest=True)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_cnn": op2_quality_cnn,
@@ -66,6 +74,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_orc_tokens": op8_orc_tokens,
     "op9_packing": op9_packing,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
