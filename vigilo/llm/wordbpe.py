@@ -1,14 +1,14 @@
 """Encoding whole texts with a public word-level BPE file through the tokenizers library, each distinct word once.
 
 The tokenizer drops white space and never forms a token across it, so a text is the concatenation of its pieces
-between spaces and line feeds.  A worker keeps the ids of pieces it has met; only new pieces reach the library.
+between spaces and line feeds.  A worker keeps the ids of pieces it has met; only new pieces reach the library: plain
+words its model alone, since nothing in the file's normalizing and splitting touches them, other pieces all of it.
 """
 
 from __future__ import annotations
 
 import os
-
-import numpy as np
+from array import array
 
 #: Entries a worker keeps per table before it starts afresh.
 KEEP = 700_000
@@ -16,6 +16,27 @@ KEEP = 700_000
 MARKS = ".,;:!?|#$%&*)"
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level files use for each byte: itself where it is visible, else one from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+class _Table(dict):
+    """Calls ``learn`` for a key it lacks."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= KEEP:
+            self.clear()
+        value = self[key] = self.learn(key)
+        return value
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -23,46 +44,31 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.pieces = _Table(self._piece)
+        self.words = _Table(self._word)
+
+    def _whole(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A lower-case word of letters below U+0130, which neither compose nor split."""
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
-    @staticmethod
-    def _word(piece: str) -> tuple[str, str]:
-        """(word, trailing marks) where both encode on their own; the marks are empty if that isn't certain."""
+    def _piece(self, piece: str) -> bytes:
         word = piece.rstrip(MARKS)
-        if not word or not word[-1].isalpha():
-            return piece, ""
+        if not word.isalpha() or max(word) >= "İ":
+            return self._whole(piece)
         tail = piece[len(word) :]
-        if word.isalpha() and max(word) < "İ":  # here lower-casing is per letter and nothing composes
-            word = word.lower()
-        elif max(word) >= "İ":
-            return piece, ""
-        return word, tail
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.pieces) > KEEP:
-            self.pieces.clear()
-        if len(self.words) > KEEP:
-            self.words.clear()
-        cut = [self._word(p) for p in new]
-        missing = [w for w in {x for pair in cut for x in pair} if w not in self.words]
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
-        words = self.words
-        for p, (w, tail) in zip(new, cut, strict=True):
-            self.pieces[p] = words[w] + words[tail]
+        ids = self.words[word.lower()]
+        return ids + self.pieces[tail] if tail else ids
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        pieces = self.pieces
-        new = list(dict.fromkeys(p for parts in split for p in parts if p not in pieces))
-        if new:
-            if len(pieces) > KEEP or len(self.words) > KEEP:  # a table is about to be emptied: learn all of this batch anew
-                new = list(dict.fromkeys(p for parts in split for p in parts))
-            self._learn(new)
-        get = pieces.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+        """The ids of each text as native unsigned 32-bit integers (little-endian on all Spark's platforms in use); null counts as empty."""
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 _encoders: dict[str, WordEncoder] = {}
