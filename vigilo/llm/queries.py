@@ -33,6 +33,36 @@ def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilo.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+#: Added to the conversations: texts that look like a template's control strings.
+CONTROL_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilo.llm import chat
+
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string"))
+    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    held = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("held"))
+    record = F.to_json(F.struct(F.transform("held", lambda t: F.struct(t.role.alias("role"), t.content.alias("content"))).alias("messages")))
+    read = chat.read_back(chat.formatted(chat.canonical(held.select("conv_id", record.alias("record")))))
+    lines = F.array_join(F.transform("read_turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("read_turns").cast("long").alias("n_turns"),
+        F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilo.llm import quality_rules
 
@@ -40,6 +70,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilo.llm.spotsigs import fingerprint_with_edits
+
+    return fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilo.llm.simhash import simhash_components
 
@@ -70,7 +106,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_cnn": op2_quality_cnn,
+    "op3_license_scan": op3_license_scan,
+    "op4_chat_format": op4_chat_format,
     "op5_quality_rules": op5_quality_rules,
+    "op6_spotsigs": op6_spotsigs,
     "op7_simhash": op7_simhash,
     "op8_orc_tokens": op8_orc_tokens,
     "op9_packing": op9_packing,
