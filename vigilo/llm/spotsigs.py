@@ -51,13 +51,18 @@ def signatures(text: Column) -> Column:
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     link = rf"(?:{common} ){{0,{SKIP}}}+[^ ]+ "
     chain = rf"(?<= )(?=({common} {link * CHAIN}))"
-    # Common words inside a chain go; the anchor, at its start, and the last content word stay.
-    found = F.regexp_extract_all(words, F.lit(chain), F.lit(1))
-    tidy = F.split(F.regexp_replace(F.concat_ws("|", found), rf"(?<= ){common} (?!\||$)", ""), r"\|")
-    chains = F.when(F.size(found) > 0, tidy).otherwise(F.array().cast("array<string>"))
-    every = F.regexp_extract_all(words, F.lit(rf"(?<= )(?=((?:[^ ]+ ){{{CHAIN + 1}}}))"), F.lit(1))
-    whole = F.when(F.length(words) > 2, F.array(words)).otherwise(F.array().cast("array<string>"))
-    used = F.when(F.size(found) >= LEAST, chains).when(F.size(every) > 0, F.concat(chains, every)).otherwise(whole)
+    none = F.array().cast("array<string>")
+
+    def chains(w: Column) -> Column:
+        found = F.regexp_extract_all(w, F.lit(chain), F.lit(1))
+        # Common words inside a chain go; the anchor, at its start, and the last content word stay.
+        tidy = lambda f: F.split(F.regexp_replace(F.concat_ws("|", f), rf"(?<= ){common} (?!\||$)", ""), r"\|")
+        every = lambda: F.regexp_extract_all(w, F.lit(rf"(?<= )(?=((?:[^ ]+ ){{{CHAIN + 1}}}))"), F.lit(1))
+        few = lambda f: F.concat(F.when(F.size(f) > 0, tidy(f)).otherwise(none), every(), F.when((F.length(w) > 2) & (F.size(every()) == 0), F.array(w)).otherwise(none))
+        return F.flatten(F.transform(F.array(found), lambda f: F.when(F.size(f) >= LEAST, tidy(f)).otherwise(few(f))))
+
+    # One-element arrays bind the words and the chains, so that each is made once.
+    used = F.flatten(F.transform(F.array(words), chains))
     return F.sort_array(F.array_distinct(F.transform(used, lambda s: F.xxhash64(s).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))))
 
 
