@@ -1,7 +1,8 @@
 """Document fingerprints from spot signatures, in DataFrame expressions only.
 
 A signature is a chain: a common word (the anchor) and the next content words after it, other common words skipped.
-Texts with hardly any anchor take every word as one.  A fingerprint is the sorted set of hashed signatures; likeness is
+Where words run on without a common one each is an anchor, and a text too short for any chain gives its words.
+A fingerprint is the sorted set of hashed signatures; likeness is
 the Jaccard similarity of two sets.  ``near_pairs`` searches a table: sets are partitioned by length, and only sets
 whose lengths allow the threshold and that share one of their rarest signatures are compared.
 """
@@ -24,8 +25,8 @@ ANCHORS = (
 CHAIN = 2
 #: Common words in a row that a chain skips; one more counts as content.
 SKIP = 8
-#: Anchor chains below which every word is an anchor.
-LEAST = 3
+#: Words in a row without a common one from which on each is an anchor, so that lists and word salad have chains too.
+DRY = 6
 
 
 def _any_of(words: list[str]) -> str:
@@ -50,7 +51,8 @@ def signatures(text: Column) -> Column:
     common = _any_of(ANCHORS)
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     link = rf"(?:{common} ){{0,{SKIP}}}+[^ ]+ "
-    chain = rf"(?<= )(?=({common} {link * CHAIN}))"
+    content = rf"(?!{common} )[^ ]+ "
+    chain = rf"(?<= )(?=({common} {link * CHAIN}|(?:{content}){{{CHAIN + 1}}}(?=(?:{content}){{{DRY - CHAIN - 1}}})))"
     none = F.array().cast("array<string>")
 
     def chains(w: Column) -> Column:
@@ -58,8 +60,8 @@ def signatures(text: Column) -> Column:
         # Common words inside a chain go; the anchor, at its start, and the last content word stay.
         tidy = lambda f: F.split(F.regexp_replace(F.concat_ws("|", f), rf"(?<= ){common} (?!\||$)", ""), r"\|")
         every = lambda: F.regexp_extract_all(w, F.lit(rf"(?<= )(?=((?:[^ ]+ ){{{CHAIN + 1}}}))"), F.lit(1))
-        few = lambda f: F.concat(F.when(F.size(f) > 0, tidy(f)).otherwise(none), every(), F.when((F.length(w) > 2) & (F.size(every()) == 0), F.array(w)).otherwise(none))
-        return F.flatten(F.transform(F.array(found), lambda f: F.when(F.size(f) >= LEAST, tidy(f)).otherwise(few(f))))
+        few = lambda: F.when(F.size(every()) > 0, every()).when(F.length(w) > 2, F.array(w)).otherwise(none)
+        return F.flatten(F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, tidy(f)).otherwise(few())))
 
     # One-element arrays bind the words and the chains, so that each is made once.
     used = F.flatten(F.transform(F.array(words), chains))
