@@ -1,8 +1,8 @@
 """SimHash near-duplicates through deletion-variant signatures.
 
-A 64-bit fingerprint is cut into two halves.  Two fingerprints that differ in at most two or three bits have a half in
-which they differ by at most one bit, so they share one of that half's 32 one-wildcard variants.  Variants are joined
-by equality and pairs verified on all 64 bits.
+A 64-bit fingerprint is cut into two halves.  Two fingerprints that differ in at most two bits differ by at most one in
+the low half, and then share one of its 32 one-wildcard variants, or agree in the high half, which is indexed whole.
+Variants are joined by equality and pairs verified on all 64 bits.
 
 Copies collapse first: only distinct fingerprints are indexed.  A variant shared by more than ``hot`` distinct
 fingerprints is not paired up.  Its fingerprints are indexed again by all two-wildcard variants of the whole
@@ -86,52 +86,51 @@ def word_fingerprints(docs: DataFrame, prints: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(apply, "doc_id long, fps array<long>")
 
 
-def _one_wildcard(fps: DataFrame) -> DataFrame:
-    """(x, key) with x = (fp, rep): 32 variants of each half, one bit deleted; half, bit and remaining bits make the key."""
-    keys = []
-    for half in (0, 1):
-        bits = F.shiftrightunsigned(F.col("fp"), 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-        for b in range(32):
-            tag = (half * 32 + b) << 32
-            keys.append(bits.bitwiseAND(F.lit(0xFFFFFFFF & ~(1 << b))).bitwiseOR(F.lit(tag)))
-    return fps.select(F.struct("fp", "rep").alias("x"), F.explode(F.array(*keys)).alias("key"))
+def _variants(fps: DataFrame) -> DataFrame:
+    """(key, fp, rep): the low half with one bit deleted, 32 ways, and the whole high half; place, bit and bits left make the key.
+
+    Two fingerprints at most two bits apart differ in the low half by at most one bit, or by two and agree in the high.
+    """
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    keys = [low.bitwiseAND(F.lit(0xFFFFFFFF & ~(1 << b))).bitwiseOR(F.lit(b << 32)) for b in range(32)]
+    keys.append(high.bitwiseOR(F.lit(32 << 32)))
+    place = F.shiftleft(F.col("place").cast("long"), 40)
+    return fps.select("place", "fp", "rep", F.explode(F.array(*keys)).alias("k")).select("place", "fp", "rep", F.col("k").bitwiseOR(place).alias("key"))
 
 
 def links(fps: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
-    """Edges (u, v) between the ``rep`` of distinct fingerprints ``fps`` (fp, rep) within ``max_bits``, up to connection.
+    """Edges (u, v) between the ``rep`` of fingerprints ``fps`` (place, fp, rep) within ``max_bits``, up to connection.
 
-    Pairs found in ordinary variants are all there; within hot variants the edges are stars that connect the same
-    fingerprints.  ``max_bits`` is at most 2.
+    (place, fp) is distinct, and only fingerprints of one place are linked.  Pairs found in ordinary variants are all
+    there; within hot variants the edges are stars that connect the same fingerprints.  ``max_bits`` is at most 2.
     """
     if not 0 <= max_bits <= 2:
-        raise ValueError("two halves with one wildcard and the two-wildcard index cover at most two bits")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
-    variants = _one_wildcard(fps)
-    counted = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).where("n > 1")
-    shared = materialize(counted, "simhash-shared")
-    pairs = shared.where("n = 2").select("a", "b").where(near)
+        raise ValueError("a half with one wildcard and the two-wildcard index cover at most two bits")
+    variants = _variants(fps)
+    # Of a variant that two share, the exclusive or of all its fingerprints is the difference of the two.
+    counted = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u"), F.max("rep").alias("v"), F.bit_xor("fp").alias("x"))
+    shared = materialize(counted.where("n > 1"), "simhash-shared")
+    pairs = shared.where("n = 2").where(F.bit_count("x") <= max_bits).select("u", "v")
     several = materialize(variants.join(shared.where("n > 2").select("key", "n"), "key"), "simhash-several")
-    few = several.where(F.col("n") <= hot).groupBy("key").agg(F.collect_list("x").alias("xs"))  # at most ``hot`` of them
+    few = several.where(F.col("n") <= hot).groupBy("key").agg(F.collect_list(F.struct("fp", "rep")).alias("xs"))  # at most ``hot`` of them
     rest = F.slice("xs", F.col("at") + 2, F.greatest(F.size("xs") - F.col("at") - 1, F.lit(0)))
-    one = few.select(F.posexplode("xs").alias("at", "a"), "xs").select("a", F.filter(rest, lambda y: F.bit_count(F.col("a.fp").bitwiseXOR(y.fp)) <= max_bits).alias("bs"))
-    found = pairs.unionByName(one.select("a", F.explode("bs").alias("b"))).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct()
+    near = F.filter(rest, lambda y: F.bit_count(F.col("a.fp").bitwiseXOR(y.fp)) <= max_bits)
+    one = few.select(F.posexplode("xs").alias("at", "a"), "xs").select(F.col("a.rep").alias("u"), F.explode(near).alias("b")).select("u", F.col("b.rep").alias("v"))
 
     # Hot variants: all two-wildcard variants of the whole fingerprint.
-    crowd = several.where(F.col("n") > hot).select("x.fp", "x.rep").distinct()
+    crowd = several.where(F.col("n") > hot).select("place", "fp", "rep").distinct()
     deleted = [(i, j) for i in range(64) for j in range(i + 1, 64)] if max_bits == 2 else [(i, i) for i in range(64)]
     masks = [(1 << i) | (1 << j) for i, j in deleted] if max_bits else [0]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     stars = (
-        crowd.select("fp", "rep", F.explode(F.array(*map(F.lit, signed))).alias("mask"))
-        .groupBy("mask", F.col("fp").bitwiseAND(F.bitwise_not("mask")).alias("rest"))
+        crowd.select("place", "fp", "rep", F.explode(F.array(*map(F.lit, signed))).alias("mask"))
+        .groupBy("place", "mask", F.col("fp").bitwiseAND(F.bitwise_not("mask")).alias("rest"))
         .agg(F.collect_set("rep").alias("near"))  # at most four
         .where(F.size("near") > 1)
-        .select(F.array_min("near").alias("v"), F.explode("near").alias("u"))
+        .select(F.explode("near").alias("u"), F.array_min("near").alias("v"))
         .where("u <> v")
-        .select("u", "v")
-        .distinct()
     )
-    return found.unionByName(stars)
+    return pairs.unionByName(one).unionByName(stars).distinct()
 
 
 def components(prints: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
@@ -142,20 +141,13 @@ def components(prints: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFram
     table gives an empty result.  A row's class is its list of fingerprints, named by itself if there is one, else by
     its 64-bit hash.
     """
-    sized = prints.select(F.max(F.size("fps"))).first()[0] or 1
-    vid = F.col("fps")[0] if sized == 1 else F.xxhash64("fps")
-    named = prints.withColumn("vid", vid)
+    named = prints.withColumn("vid", F.when(F.size("fps") == 1, F.col("fps")[0]).otherwise(F.xxhash64("fps")))
     vertices = materialize(named.groupBy("vid").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps")), "simhash-vertices")
-    edges = None
-    for place in range(sized):
-        own = vertices.select("vid", F.col("fps")[place].alias("fp"))
-        reps = own.groupBy("fp").agg(F.min("vid").alias("rep"))
-        found = links(reps, max_bits, hot)
-        if sized > 1:
-            same = own.join(reps, "fp").where("vid <> rep").select(F.col("vid").alias("u"), F.col("rep").alias("v"))
-            found = found.unionByName(same)
-        edges = found if edges is None else edges.unionByName(found)
-    labels = connected_components(edges)
+    own = vertices.select("vid", F.posexplode("fps").alias("place", "fp"))
+    reps = materialize(own.groupBy("place", "fp").agg(F.min("vid").alias("rep"), F.count("*").alias("n")), "simhash-reps")
+    # Classes that agree in one place and differ elsewhere.
+    same = own.join(reps.where("n > 1"), ["place", "fp"]).where("vid <> rep").select(F.col("vid").alias("u"), F.col("rep").alias("v"))
+    labels = connected_components(links(reps.drop("n"), max_bits, hot).unionByName(same))
     labelled = vertices.join(labels, vertices.vid == labels.node, "left").select("vid", "first", F.coalesce("label", "vid").alias("label"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     of_vid = labelled.join(least, "label").select("vid", "component_id")
