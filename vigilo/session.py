@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "vigilo", **conf: str) -> SparkSession:
@@ -11,3 +14,18 @@ def session(app: str = "vigilo", **conf: str) -> SparkSession:
     for k, v in conf.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back: lineage, and the plan, end there.
+
+    A folder of the machine's own is made only where the session names none.
+    """
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = set_dir.get() if set_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="vigilo-shared-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
