@@ -28,6 +28,8 @@ from vigilo.llm.common import shuffle_partitions
 BLOCK_BYTES = 8 << 20
 #: Characters of text that travel in one compressed row.
 PACK_CHARS = 1 << 20
+#: Of zstd, for what is shuffled.
+LEVEL = 5
 
 _full = regex.compile(public_tokenizers.PATTERN)
 #: The same pattern for texts of ASCII and Latin letters only, where the standard library's classes agree with it.
@@ -72,7 +74,7 @@ def ranks(path: str) -> Ranks:
 
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
