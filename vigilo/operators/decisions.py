@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNKNOWN, RED, AMBER, DOUBLE_AMBER, GREEN = 9, 3, 2, 1, 0
-#: Internal order: a larger aspect is more severe; unknown is kept apart.
+#: Aspects are 0 (clear) to 3 (withdraw); unknown stands apart.
 ASPECT_UNKNOWN = -1
 
 

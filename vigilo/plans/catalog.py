@@ -12,6 +12,7 @@ from vigilo.operators import decisions as D
 from vigilo.operators import detectors as X
 from vigilo.operators import duty as U
 from vigilo.operators import features as E
+from vigilo.operators import inspection as I
 from vigilo.operators import life as L
 from vigilo.operators import monitoring as M
 from vigilo.operators import normalise as N
@@ -638,6 +639,80 @@ def reference_affine(spark: SparkSession, sf: str) -> DataFrame:
     return M.affine_baseline(view, "charge", "health_index").select("asset_id", r("location", 4).alias("location"), r("scale", 4).alias("scale"), "n")
 
 
+_FAMILIES = {"peak": "current", "charge": None}
+_WEAR = {"peak": 1, "charge": 1}
+
+
+@query(
+    _CHANGE
+    + """, d AS (SELECT *, CASE WHEN z IS NULL THEN 'unknown' WHEN z >= 1 THEN 'increase' WHEN z <= -1 THEN 'decrease' ELSE 'no_detected_change' END AS direction FROM ch)
+ SELECT asset_id, coalesce(string_agg(CASE WHEN direction IN ('increase', 'decrease') THEN channel END, ',' ORDER BY channel), '') AS shifted, coalesce(string_agg(CASE WHEN direction = 'unknown' THEN channel END, ',' ORDER BY channel), '') AS unknown_channels,
+ CASE WHEN bool_or(direction IN ('increase', 'decrease') AND channel = 'peak') THEN 'current' ELSE '' END AS families, coalesce(bool_and(CASE WHEN direction IN ('increase', 'decrease') THEN z > 0 END), false) AS wear_consistent,
+ count(*) FILTER (WHERE direction IN ('increase', 'decrease')) = 1 AND count(*) FILTER (WHERE direction = 'unknown') = 0 AS isolated FROM d GROUP BY 1"""
+)
+def cross_channel(spark: SparkSession, sf: str) -> DataFrame:
+    c = I.cross_channel(_changes(spark, sf), _FAMILIES, _WEAR)
+    join = lambda x: F.array_join(x, ",")
+    return c.select("asset_id", join("shifted").alias("shifted"), join("unknown").alias("unknown_channels"), join("families").alias("families"), "wear_consistent", "isolated")
+
+
+@query()
+def inspection_records(spark: SparkSession, sf: str) -> DataFrame:
+    c = _changes(spark, sf)
+    return I.evidence_records(c, I.cross_channel(c, _FAMILIES, _WEAR), M.peer_comparison(c, share=0.1), F.lit("2024-01-29"))
+
+
+_SHOWN = (
+    _ASPECT
+    + ", "
+    + _GRID
+    + """, j AS (SELECT g.asset_id, g.day, raw FROM g LEFT JOIN ra USING (asset_id, day)), l AS (SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY asset_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS last FROM j),
+ sh AS (SELECT asset_id, day, CAST(coalesce(raw, CASE WHEN last > 0 THEN last ELSE -1 END) AS INTEGER) AS shown_aspect, raw IS NOT NULL AS reported FROM l)"""
+)
+
+
+def _shown(spark: SparkSession, sf: str) -> DataFrame:
+    a = _aspects(spark, sf)
+    decided = a.select("asset_id", "day", F.col("raw_aspect").alias("aspect"), "rul_lower", F.lit("full_service").alias("duty"))
+    return I.display_rows(_grid(a), decided)
+
+
+@query(_SHOWN + " SELECT asset_id, day, shown_aspect, reported FROM sh")
+def display_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(spark, sf).select("asset_id", "day", "shown_aspect", "reported")
+
+
+@query(_SHOWN + ", k AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY day DESC) AS k FROM sh), q AS (SELECT asset_id, max(CASE WHEN k = 1 THEN shown_aspect END) AS now, max(shown_aspect) AS peak FROM k WHERE k <= 21 GROUP BY 1) SELECT asset_id, CASE WHEN now > 0 THEN 'status' ELSE 'review' END AS reason FROM q WHERE now > 0 OR peak > 0")
+def surfaced_assets(spark: SparkSession, sf: str) -> DataFrame:
+    return I.surfaced(_shown(spark, sf))
+
+
+@query()
+def dashboard_payload(spark: SparkSession, sf: str) -> DataFrame:
+    return I.dashboard_payload(_shown(spark, sf))
+
+
+@query()
+def detector_tournament(spark: SparkSession, sf: str) -> DataFrame:
+    from vigilo.plans.experiments import tournament
+
+    d = V.daily(spark, sf).withColumn("context_supported", F.lit(True))
+    scores = {"raw": F.col("charge"), "mahalanobis": X.Mahalanobis(["peak", "charge"]).fit(_reference(d)).score()}
+    t = tournament(d, V.episodes(spark), scores, ntz("2024-01-14 00:00:00"), 0.8)
+    return t.select("name", r("threshold", 5).alias("threshold"), "alarms", "n_episodes", "detected", r("precision").alias("precision"))
+
+
+@query(
+    "WITH base AS (SELECT 0.5 AS a0, 3 AS u0), res(policy, m, age, gap, availability, unmatched) AS (VALUES ('p1', 3, 5, 3, 0.8, 2), ('p2', 2, 5, 3, 0.8, 3), ('p3', 2, 4, 3, 0.9, 5)) SELECT policy FROM res, base WHERE availability >= a0 AND unmatched <= u0 ORDER BY availability DESC, m DESC, age, gap LIMIT 1"
+)
+def policy_pick(spark: SparkSession, sf: str) -> DataFrame:
+    from vigilo.plans.experiments import pick_policy
+
+    rows = [("base", 3, 3, 1, 0.5, 3.0), ("p1", 3, 5, 3, 0.8, 2.0), ("p2", 2, 5, 3, 0.8, 3.0), ("p3", 2, 4, 3, 0.9, 5.0)]
+    df = spark.createDataFrame(rows, "policy string, min_observations int, max_age_days int, max_gap_days int, availability double, unmatched double")
+    return pick_policy(df, "base").select("policy")
+
+
 _REPAIRS = [(1, "A01", "2024-01-17 02:30:00"), (2, "A04", "2024-01-21 04:00:00"), (3, "A07", "2024-01-27 23:00:00"), (4, "A10", "2024-01-20 00:00:00"), (5, "A12", "2024-01-12 03:00:00"), (6, "A15", "2024-01-14 03:00:00")]
 
 
