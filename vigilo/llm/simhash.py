@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import materialize
+from vigilo.llm.common import materialize, shuffle_partitions
 from vigilo.llm.components import connected_components
 
 SEED = 42
@@ -106,7 +106,8 @@ def links(fps: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("a half with one wildcard and the two-wildcard index cover at most two bits")
-    variants = _variants(fps)
+    # Each fingerprint makes 33 rows: dealt anew, so that a few small files don't make a few large tasks.
+    variants = _variants(fps.repartition(shuffle_partitions(fps.sparkSession), "fp"))
     # Of a variant that two share, the exclusive or of all its fingerprints is the difference of the two.
     counted = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u"), F.max("rep").alias("v"), F.bit_xor("fp").alias("x"))
     shared = materialize(counted.where("n > 1"), "simhash-shared")

@@ -11,7 +11,7 @@ import os
 from array import array
 
 #: Entries a worker keeps per table before it starts afresh.
-KEEP = 700_000
+KEEP = 350_000
 #: ASCII marks that end a word; the tokenizer always cuts between a letter and any of them.
 MARKS = ".,;:!?|#$%&*)"
 
