@@ -309,6 +309,18 @@ def test_near_dedup_drops_near_copies_only(spark):
     assert set(range(60)) <= kept and len(kept) <= 62
 
 
+def test_near_dedup_finds_copies_at_the_threshold(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for k, run in enumerate((0, 20, 27, 40)):  # of 296 shingles run + 4 change: Jaccard 0.85, 0.81 and 0.74
+            at = rng.randrange(5, 250)
+            rows.append((i + 100 * k, " ".join([*base[:at], *(f"x{k}{i}{j}" for j in range(run)), *base[at + run :]])))
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows if i < 100 or i >= 300}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 500), (300, 301)], "u long, v long")
     got = {r.node: r.label for r in components.connected_components(edges).collect()}

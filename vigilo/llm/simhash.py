@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from vigilo.llm.common import materialize, shuffle_partitions
 from vigilo.llm.components import connected_components
+from vigilo.llm.nearcopies import near_dedup as near_dedup  # the pipeline's stage
 
 SEED = 42
 #: Distinct fingerprints of one variant beyond which it goes through the two-wildcard index.
@@ -60,32 +61,6 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", id_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(apply, "doc_id long, fp long")
 
 
-def word_fingerprints(docs: DataFrame, prints: int = 4) -> DataFrame:
-    """(doc_id, fps) for every row: ``prints`` independent fingerprints of the set of lower-cased words.
-
-    A few changed words leave most of the set, so near copies stay within two bits in one of the fingerprints far more
-    often than with word sequences, while unrelated texts differ in some thirty bits.
-    """
-
-    def apply(batches):
-        for batch in batches:
-            out = np.zeros((batch.num_rows, prints), np.int64)
-            for i, t in enumerate(batch.column(1)):
-                words = set((t.as_py() or "").encode().lower().split())
-                if not words:
-                    continue
-                digests = b"".join(xxhash.xxh3_128_digest(w, s) for w in words for s in range(0, prints, 2))
-                h = np.frombuffer(digests, np.uint8).reshape(len(words), -1)
-                counts = np.zeros(h.shape[1] * 8, np.int64)
-                for k in range(0, len(h), 1 << 13):
-                    counts += np.unpackbits(h[k : k + (1 << 13)], axis=1).sum(axis=0, dtype=np.int64)
-                out[i] = np.packbits((2 * counts > len(words)).astype(np.uint8)).view("<i8")[:prints]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, prints), pa.int32()), pa.array(out.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["doc_id", "fps"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(apply, "doc_id long, fps array<long>")
-
-
 def _variants(fps: DataFrame) -> DataFrame:
     """(key, fp, rep): the low half with one bit deleted, 32 ways, and the whole high half; place, bit and bits left make the key.
 
@@ -159,21 +134,3 @@ def simhash_components(docs: DataFrame, width: int = 3, max_bits: int = 2, hot:
     """(doc_id, fingerprint, component_id): fingerprint as 16 lowercase hex digits."""
     prints = materialize(fingerprints(docs, width).select("doc_id", F.array("fp").alias("fps")), "simhash-prints")
     return components(prints, max_bits, hot).select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame, prints: int = 4, max_bits: int = 2, hot: int = HOT) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
-
-    Of rows that repeat a doc_id one stays.  Rows without an id stay only where none of their component has one.
-    Columns of the input pass through.
-    """
-    marked = materialize(word_fingerprints(docs, prints), "simhash-prints")
-    labelled = components(marked, max_bits, hot)
-    keep = materialize(labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-keep")
-    kept = docs.join(keep.where("n = 1 or doc_id is null").select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    again = keep.where("n > 1 and doc_id is not null")
-    if again.isEmpty():
-        return kept
-    return kept.unionByName(docs.join(again.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-
-
