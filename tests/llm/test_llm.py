@@ -321,6 +321,14 @@ def test_near_dedup_finds_copies_at_the_threshold(spark):
     assert kept == {i for i, _ in rows if i < 100 or i >= 300}
 
 
+def test_near_dedup_compares_texts_not_word_sets(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(reversed(words))), (3, " ".join(words * 3)), (4, " ".join(w for w in words for _ in range(2)))]
+    assert {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2, 4}
+    chain = [" ".join([f"y{j}" for j in range(15 * k)] + words[15 * k :]) for k in range(3)]  # 0 and 1, 1 and 2 are alike, 0 and 2 are not
+    assert [r.doc_id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")).collect()] == [0]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 500), (300, 301)], "u long, v long")
     got = {r.node: r.label for r in components.connected_components(edges).collect()}
