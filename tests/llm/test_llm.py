@@ -329,6 +329,49 @@ def test_near_dedup_compares_texts_not_word_sets(spark):
     assert [r.doc_id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")).collect()] == [0]
 
 
+def brute_near_kept(texts, threshold=0.8):
+    """Ids that stay where all pairs of five-word shingle sets are compared."""
+    sets = {}
+    for i, t in sorted(texts.items()):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    holders, root = collections.defaultdict(list), {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    empty = [i for i, s in sets.items() if not s]
+    pairs = {(empty[0], i) for i in empty[1:]}
+    for i, s in sets.items():
+        for j, n in collections.Counter(j for x in s for j in holders[x]).items():
+            if n / (len(s) + len(sets[j]) - n) >= threshold:
+                pairs.add((j, i))
+        for x in s:
+            holders[x].append(i)
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i for i in sets if find(i) == i}, pairs
+
+
+@pytest.mark.parametrize("star", [2, 1000])
+def test_near_dedup_equals_brute_force(spark, star):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    family = []
+    for i in range(120):  # one large group, at 0.5 to 1 to each other
+        t = list(base)
+        for _ in range(rng.randint(0, 9)):
+            t[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        family.append((10**6 + i, " ".join(t)))
+    df = df.unionByName(spark.createDataFrame(family, "doc_id long, text string"))
+    want, pairs = brute_near_kept(texts_of(df))
+    assert len(pairs) > 500 and {r.doc_id for r in simhash.near_dedup(df, star=star).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 500), (300, 301)], "u long, v long")
     got = {r.node: r.label for r in components.connected_components(edges).collect()}
