@@ -372,6 +372,17 @@ def test_near_dedup_equals_brute_force(spark, star):
     assert len(pairs) > 500 and {r.doc_id for r in simhash.near_dedup(df, star=star).collect()} == want
 
 
+def test_near_dedup_judges_each_row(spark):
+    far = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    near = [t.replace(f"{c}59", "other") for c, t in zip("abcdef", far)]
+    # A null id alone in its group stays; null-id copies of rows with ids go.  A repeated id keeps the texts that are not near.
+    rows = [(None, far[0]), (1, far[1]), (None, near[1]), (None, far[1]), (7, far[2]), (7, far[3]), (5, near[3]), (8, far[4]), (8, far[5]), (9, far[5]), (9, far[5]), (None, near[0])]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    alone = [t for i, t in kept if not i]
+    assert len(alone) == 1 and alone[0] in (far[0], near[0])
+    assert kept[1:] == sorted([(1, far[1]), (7, far[2]), (5, near[3]), (8, far[4]), (8, far[5])])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 500), (300, 301)], "u long, v long")
     got = {r.node: r.label for r in components.connected_components(edges).collect()}
