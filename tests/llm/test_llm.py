@@ -158,6 +158,18 @@ def test_license_scan_equals_containment(spark):
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.miss_chance(1) < 0.01
 
 
+def test_license_scan_finds_every_short_notice(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(4000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(24)]
+        at = rng.randrange(25)
+        rows.append((i, " ".join([*words[:at], licenses.TEMPLATES[i % 2][1], *words[at:]])))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.TEMPLATES[:2])
+    assert {(r.doc_id, r.template) for r in found.collect()} == {(i, i % 2) for i, _ in rows}
+    assert licenses.miss_chance(1) == 0 and licenses.miss_chance(licenses.FEW + 1) < 1e-16
+
+
 # ---- 4 chat
 
 

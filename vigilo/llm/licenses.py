@@ -3,13 +3,15 @@
 Texts become word shingles; overlapping windows of shingles get MinHash bands by one permutation: the hash space is
 cut into BINS, and each bin's smallest hash in the window is a band of one row.  A shingle of a template that stands in
 a window loses its band only to a smaller hash in the same bin, so the chance that a window with a whole template
-misses all its bands is below (WINDOW / (2 * BINS)) ** shingles.  Bands retrieve templates; matches are then verified by
-the exact share of the template's shingles in the text around the window.
+misses all its bands is below (WINDOW / (2 * BINS)) ** shingles.  That is too much for templates of up to FEW shingles:
+each of their shingles is a band wherever it stands, so that none of them is missed.  Bands retrieve templates; matches
+are then verified by the exact share of the template's shingles in the text around the window.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ WIDTH = 5
 WINDOW, STEP = 16, 8
 BINS_LOG2 = 10
 CONTAINMENT = 0.8
+#: Templates of so many shingles or fewer are found by each of their shingles.
+FEW = 8
 #: Bits of the table that tells bands of no template at once.
 SIEVE_LOG2 = 18
 
@@ -72,7 +76,7 @@ TEMPLATES = [
 
 def miss_chance(shingles: int) -> float:
     """Upper bound on the chance that no band of a window that holds a whole template of so many shingles shows it."""
-    return (WINDOW / (2 * (1 << BINS_LOG2))) ** min(shingles, WINDOW - STEP)
+    return 0.0 if shingles <= FEW else (WINDOW / (2 * (1 << BINS_LOG2))) ** min(shingles, WINDOW - STEP)
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -86,13 +90,28 @@ def shingle_hashes(text: Column) -> Column:
     return F.flatten(F.transform(F.filter(F.array(words), lambda w: F.size(w) >= WIDTH), hashes))
 
 
-def bands(window: Column) -> Column:
-    """The smallest hash of each bin, a bin being the hash's highest bits."""
+def bands(window: Column, always: Callable[[Column], Column]) -> Column:
+    """The smallest hash of each bin, a bin being the hash's highest bits, and each hash for which ``always`` holds."""
     bin_of = lambda x: F.shiftright(x, 64 - BINS_LOG2)
-    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1))))
+    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1))) | always(x))
     return F.flatten(F.transform(F.array(F.sort_array(window)), firsts))
 
 
+def sieve(hashes: Iterable[int]) -> Callable[[Column], Column]:
+    """A test that all of ``hashes`` pass, and of others few."""
+    words = [0] * (1 << (SIEVE_LOG2 - 6))
+    for x in hashes:
+        words[(x >> 6) & (len(words) - 1)] |= 1 << (x & 63)
+    # One constant: parsed once when the plan is optimized, never a column.
+    table = F.from_json(F.lit(json.dumps([v - (1 << 64) if v >> 63 else v for v in words])), "array<bigint>")
+
+    def passes(x: Column) -> Column:
+        word = F.get(table, F.shiftright(x, 6).bitwiseAND(F.lit(len(words) - 1)).cast("int"))
+        return F.call_function("shiftrightunsigned", word, x.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return passes
+
+
 def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(template, license, shingles) of templates with WIDTH words or more; the list's length bounds it."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, text string")
@@ -109,23 +128,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containm
     known = template_table(spark, templates)
     held = known.collect()  # the templates, a fixed list
     longest = max((len(r.shingles) for r in held), default=0)
-    sieve = [0] * (1 << (SIEVE_LOG2 - 6))
-    for r in held:
-        for x in r.shingles:
-            sieve[(x >> 6) & (len(sieve) - 1)] |= 1 << (x & 63)
-    # One constant: parsed once when the plan is optimized, never a column.
-    table = F.from_json(F.lit(json.dumps([v - (1 << 64) if v >> 63 else v for v in sieve])), "array<bigint>")
-
-    def passes(x: Column) -> Column:
-        word = F.get(table, F.shiftright(x, 6).bitwiseAND(F.lit(len(sieve) - 1)).cast("int"))
-        return F.call_function("shiftrightunsigned", word, x.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    passes = sieve(x for r in held for x in r.shingles)
+    always = sieve(x for r in held if len(r.shingles) <= FEW for x in r.shingles)
 
     def hits(h: Column) -> Column:
         """(window, band, shingles around) for each band that the sieve lets pass."""
 
         def of_window(j: Column) -> Column:
             around = F.slice(h, F.greatest(j * STEP - longest, F.lit(0)) + 1, F.lit(WINDOW + 2 * longest))
-            return F.transform(F.filter(bands(F.slice(h, j * STEP + 1, WINDOW)), passes), lambda x: F.struct(j.alias("window"), x.alias("band"), around.alias("around")))
+            return F.transform(F.filter(bands(F.slice(h, j * STEP + 1, WINDOW), always), passes), lambda x: F.struct(j.alias("window"), x.alias("band"), around.alias("around")))
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / STEP).cast("int")), of_window))
 
