@@ -170,6 +170,19 @@ def test_license_scan_finds_every_short_notice(spark):
     assert licenses.miss_chance(1) == 0 and licenses.miss_chance(licenses.FEW + 1) < 1e-16
 
 
+def test_license_scan_knows_common_notices(spark):
+    notices = [
+        ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+        ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+        ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+        ("BSD-3-Clause", "// SPDX-License-Identifier: BSD-3-Clause"),
+        ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is here"),
+        ("BSD", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ]
+    df = spark.createDataFrame([(i, f"some text before {t} and after") for i, (_, t) in enumerate(notices)], "doc_id long, text string")
+    assert {(r.doc_id, r.license) for r in licenses.scan(df).collect()} == {(i, name) for i, (name, _) in enumerate(notices)}
+
+
 # ---- 4 chat
 
 

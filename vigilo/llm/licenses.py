@@ -71,6 +71,47 @@ TEMPLATES = [
         "You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "MIT",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of "
+        "merchantability, fitness for a particular purpose and noninfringement.",
+    ),
+    (
+        "BSD",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+    ),
+    (
+        "BSD",
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not "
+        "limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    *((f"CC-{x}-4.0", f"Licensed under CC {x} 4.0.") for x in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")),
+    # Tags of at least WIDTH words; those with -only or -or-later begin like these.
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0")),
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0")),
 ]
 
 
