@@ -3,16 +3,62 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import add
+from operator import add, and_
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilo.operators.features import smooth
+from vigilo.session import materialize
+
+KEY = ("asset_id", "day")
+#: Complete reference rows without which nothing is fitted.
+LEAST_REFERENCE = 5
+
+
+class Detector(Protocol):
+    """Fitted on a reference, scores complete rows; a higher score is more anomalous."""
+
+    needs: list[str]
+
+    def fit(self, reference: DataFrame) -> Detector: ...
+
+    def scored(self, rows: DataFrame, out: str) -> DataFrame:
+        """(asset_id, day, out) of each row."""
+
+
+class _ByColumn:
+    """A detector whose score is a column expression."""
+
+    def scored(self, rows: DataFrame, out: str) -> DataFrame:
+        return rows.select(*KEY, self.score().alias(out))
+
+
+@dataclass
+class Passthrough(_ByColumn):
+    """A score that is there already."""
+
+    column: str
+
+    @property
+    def needs(self) -> list[str]:
+        return [self.column]
+
+    def fit(self, reference: DataFrame) -> Passthrough:
+        return self
+
+    def score(self) -> Column:
+        return F.col(self.column).cast("double")
+
+
+class RawSignal(Passthrough):
+    """The signal as measured: what every other detector must beat."""
 
 
 def reference_frame(daily: DataFrame, start: Column, end: Column, valid: Column | None = None) -> DataFrame:
@@ -27,54 +73,61 @@ def moments(reference: DataFrame, columns: list[str]) -> tuple[int, np.ndarray,
     rows = reference.select(*columns).dropna()
     got = rows.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1))).first()
     n = got["n"]
-    if n < 5:
+    if n < LEAST_REFERENCE:
         raise ValueError("fewer than five complete reference rows")
     mean = np.array([got[f"m{i}"] for i in range(p)], float)
     cov = np.array([[got[f"c{max(i, j)}_{min(i, j)}"] for j in range(p)] for i in range(p)], float)
     return n, mean, cov
 
 
+def _spread(cov: np.ndarray) -> np.ndarray:
+    sd = np.sqrt(np.diag(cov))
+    return np.where(sd > 0, sd, 1.0)
+
+
+def _quadratic(columns: list[str], mean: np.ndarray, form: np.ndarray) -> Column:
+    d = [F.col(c) - float(m) for c, m in zip(columns, mean, strict=True)]
+    return reduce(add, [d[i] * d[j] * float(form[i, j]) for i in range(len(d)) for j in range(len(d))])
+
+
 @dataclass
-class Mahalanobis:
+class Mahalanobis(_ByColumn):
     """Squared distance of standardised columns from the reference centre, maximum-likelihood covariance."""
 
-    columns: list[str]
+    needs: list[str]
     mean: np.ndarray | None = None
     inverse: np.ndarray | None = None
 
     def fit(self, reference: DataFrame) -> Mahalanobis:
-        _, self.mean, cov = moments(reference, self.columns)
-        sd = np.sqrt(np.diag(cov))
-        sd = np.where(sd > 0, sd, 1.0)
-        self.inverse = np.linalg.pinv(cov / np.outer(sd, sd)) / np.outer(sd, sd)
+        _, self.mean, cov = moments(reference, self.needs)
+        scale = np.outer(_spread(cov), _spread(cov))
+        self.inverse = np.linalg.pinv(cov / scale) / scale
         return self
 
     def score(self) -> Column:
-        d = [F.col(c) - float(m) for c, m in zip(self.columns, self.mean, strict=True)]
-        return reduce(add, [d[i] * d[j] * float(self.inverse[i, j]) for i in range(len(d)) for j in range(len(d))])
+        return _quadratic(self.needs, self.mean, self.inverse)
 
 
 @dataclass
-class PCAError:
-    """Length of what the first ``k`` components leave of a standardised row."""
+class PCAError(_ByColumn):
+    """Length of what the first ``k`` components leave of a standardised row; null where a channel is missing."""
 
-    columns: list[str]
+    needs: list[str]
     k: int = 3
     mean: np.ndarray | None = None
     rest: np.ndarray | None = None
 
     def fit(self, reference: DataFrame) -> PCAError:
-        _, self.mean, cov = moments(reference, self.columns)
-        sd = np.sqrt(np.diag(cov))
-        sd = np.where(sd > 0, sd, 1.0)
-        _, v = np.linalg.eigh(cov / np.outer(sd, sd))
-        left = v[:, : max(0, len(self.columns) - self.k)]  # ascending eigenvalues: the first are the least
-        self.rest = (left @ left.T) / np.outer(sd, sd)
+        _, self.mean, cov = moments(reference, self.needs)
+        scale = np.outer(_spread(cov), _spread(cov))
+        _, v = np.linalg.eigh(cov / scale)
+        left = v[:, : max(0, len(self.needs) - self.k)]  # ascending eigenvalues: the first are the least
+        self.rest = (left @ left.T) / scale
         return self
 
     def score(self) -> Column:
-        d = [F.col(c) - float(m) for c, m in zip(self.columns, self.mean, strict=True)]
-        return F.sqrt(F.greatest(reduce(add, [d[i] * d[j] * float(self.rest[i, j]) for i in range(len(d)) for j in range(len(d))]), F.lit(0.0)))
+        square = _quadratic(self.needs, self.mean, self.rest)
+        return F.when(square.isNotNull(), F.sqrt(F.greatest(square, F.lit(0.0))))  # rounding may leave it just below zero
 
 
 def ewma(df: DataFrame, value: str, lam: float = 0.15, out: str = "ewma", by: str = "asset_id", day: str = "day") -> DataFrame:
@@ -100,65 +153,122 @@ def ewma_chart(daily: DataFrame, reference: DataFrame, value: str, lam: float =
     return ewma(z.drop("c", "s", "fc", "fs"), "__z", lam, out).drop("__z")
 
 
-def local_outlier_factor(daily: DataFrame, reference: DataFrame, columns: list[str], k: int = 35, key: tuple[str, ...] = ("asset_id", "day"), max_reference: int = 20_000) -> DataFrame:
-    """(key, lof): novelty score against the reference's own density, by exact nearest neighbours.
+@dataclass
+class EWMA:
+    """The chart as a detector; centres and deviations are fitted per asset."""
+
+    column: str
+    lam: float = 0.15
+    reference: DataFrame | None = None
+
+    @property
+    def needs(self) -> list[str]:
+        return [self.column]
+
+    def fit(self, reference: DataFrame) -> EWMA:
+        self.reference = reference
+        return self
+
+    def scored(self, rows: DataFrame, out: str) -> DataFrame:
+        return ewma_chart(rows, self.reference, self.column, self.lam, out).select(*KEY, out)
+
+
+#: Rows of one block of neighbours' search: the memory of a task follows its square.
+BLOCK_ROWS = 2_000
 
-    The reference is a declared window; beyond ``max_reference`` rows the fit is refused instead of thinned.
+
+def _nearest(queries: DataFrame, reference: DataFrame, k: int, n_queries: int, n_reference: int, same: bool) -> DataFrame:
+    """(q, near): the ``k`` nearest reference rows of each query, nearest first; both have (id, x array<double>).
+
+    Exact: each block of queries meets each block of the reference in a task of its own, which keeps the ``k`` best of
+    each query, and the best of those stay.  With ``same`` a row is not its own neighbour.  Ties go to the smaller id.
     """
-    ref = reference.select(*columns).dropna().withColumn("rid", F.monotonically_increasing_id())
-    pdf = ref.limit(max_reference + 1).toPandas()
-    if len(pdf) > max_reference:
-        raise ValueError("the reference window is too long for exact neighbours; shorten it")
-    x = pdf[columns].to_numpy(float)
-    k = min(k, len(x) - 1)
-    near, radius = _neighbours(x, x, k, same=True)
-    reach = np.maximum(radius[near], np.linalg.norm(x[near] - x[:, None], axis=2))
-    density = 1 / (reach.mean(axis=1) + 1e-10)
-
-    def apply(batches):
-        for b in batches:
-            q = b[columns].to_numpy(float)
-            out = np.full(len(b), np.nan)
-            ok = np.isfinite(q).all(axis=1)
-            if ok.any():
-                at, _ = _neighbours(q[ok], x, k, same=False)
-                r = np.maximum(radius[at], np.linalg.norm(x[at] - q[ok][:, None], axis=2))
-                out[ok] = density[at].mean(axis=1) * (r.mean(axis=1) + 1e-10)
-            yield b[list(key)].assign(lof=pd.Series(out, index=b.index).where(ok))
-
-    kinds = {f.name: f.dataType.simpleString() for f in daily.schema.fields}
-    return daily.select(*key, *columns).mapInPandas(apply, ", ".join(f"{c} {kinds[c]}" for c in key) + ", lof double")
-
-
-def _neighbours(q: np.ndarray, x: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the k nearest rows of x for each row of q, and the distance of the k-th; in blocks of rows."""
-    at, far = [], []
-    for s in range(0, len(q), 512):
-        d = np.linalg.norm(q[s : s + 512, None] - x[None], axis=2)
-        if same:
-            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        at.append(near)
-        far.append(np.take_along_axis(d, near[:, -1:], axis=1)[:, 0])
-    return np.concatenate(at), np.concatenate(far)
+    blocks = lambda n: max(1, -(-n // BLOCK_ROWS))
+
+    def gathered(df: DataFrame, n: int) -> DataFrame:
+        held = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks(n))).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "x")).alias("xs"))
+        return held.select("b", F.transform("xs", lambda s: s.id).alias("ids"), F.flatten(F.transform("xs", lambda s: s.x)).alias("x"))
+
+    left = gathered(queries, n_queries).select(F.col("ids").alias("qids"), F.col("x").alias("qx"), F.explode(F.sequence(F.lit(0), F.lit(blocks(n_reference) - 1))).alias("b"))
+
+    def best(batches):
+        for batch in batches:
+            for qids, qx, ids, x in zip(batch["qids"], batch["qx"], batch["ids"], batch["x"], strict=True):
+                ids, qids = np.asarray(ids), np.asarray(qids)
+                order = np.argsort(ids)
+                ids, x, qx = ids[order], np.asarray(x, float).reshape(len(ids), -1)[order], np.asarray(qx, float).reshape(len(qids), -1)
+                for s in range(0, len(qids), 256):
+                    d = np.sqrt(((qx[s : s + 256, None] - x[None]) ** 2).sum(axis=2))
+                    if same:
+                        d[qids[s : s + 256, None] == ids[None]] = np.inf
+                    at = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    far = np.take_along_axis(d, at, axis=1)
+                    q, c = np.nonzero(np.isfinite(far))
+                    yield pd.DataFrame({"q": qids[s + q], "d": far[q, c], "id": ids[at[q, c]]})
+
+    pairs = left.join(gathered(reference, n_reference), "b").select("qids", "qx", "ids", "x")
+    found = pairs.mapInPandas(best, "q long, d double, id long")
+    return found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, k).alias("near"))
+
+
+@dataclass
+class LocalOutlierFactor:
+    """How much sparser a row's neighbourhood is than those of its neighbours in the reference; columns standardised."""
+
+    needs: list[str]
+    k: int = 35
+    mean: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    model: DataFrame | None = None
+    size: int = 0
+
+    def _points(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("x", F.array(*((F.col(c) - float(m)) / float(s) for c, m, s in zip(self.needs, self.mean, self.scale, strict=True))))
+
+    def fit(self, reference: DataFrame) -> LocalOutlierFactor:
+        self.size, self.mean, cov = moments(reference, self.needs)
+        self.scale = _spread(cov)
+        rows = materialize(self._points(reference.select(*self.needs).dropna()).select("x", F.monotonically_increasing_id().alias("id")), "lof-reference")
+        near = materialize(_nearest(rows, rows, min(self.k, self.size - 1), self.size, self.size, same=True), "lof-near")
+        radius = near.select(F.col("q").alias("id"), F.element_at("near", -1)["d"].alias("radius"))
+        reach = near.select("q", F.explode("near").alias("n")).select("q", "n.*").join(radius, "id")
+        density = reach.groupBy(F.col("q").alias("id")).agg((1 / (F.avg(F.greatest("d", "radius")) + 1e-10)).alias("density"))
+        self.model = materialize(rows.join(radius, "id").join(density, "id"), "lof-model")
+        return self
+
+    def scored(self, rows: DataFrame, out: str) -> DataFrame:
+        held = materialize(self._points(rows.select(*KEY, *self.needs)).select(*KEY, "x", F.monotonically_increasing_id().alias("q")), "lof-rows")
+        near = _nearest(held.select(F.col("q").alias("id"), "x"), self.model.select("id", "x"), min(self.k, self.size - 1), held.count(), self.size, same=False)
+        met = near.select("q", F.explode("near").alias("n")).select("q", "n.*").join(self.model.select("id", "radius", "density"), "id")
+        lof = met.groupBy("q").agg((F.avg("density") * (F.avg(F.greatest("d", "radius")) + 1e-10)).alias(out))
+        return held.select(*KEY, "q").join(lof, "q", "left").drop("q")
 
 
 @dataclass
 class IsolationForest:
-    """Random isolation trees grown on a bounded sample of the reference; a higher score is easier to isolate."""
+    """Random isolation trees; a higher score is easier to isolate.
 
-    columns: list[str]
-    trees: int = 100
+    Each tree grows on ``sample`` reference rows.  All trees' rows, the smallest hashes of the key, reach the driver:
+    at most trees x sample, however long the reference.
+    """
+
+    needs: list[str]
+    trees: int = 300
     sample: int = 256
     seed: int = 0
     grown: list = field(default_factory=list)
 
-    def fit(self, reference: DataFrame, rows: int = 20_000) -> IsolationForest:
-        x = reference.select(*self.columns).dropna().orderBy(F.xxhash64(*self.columns)).limit(rows).toPandas().to_numpy(float)
+    def fit(self, reference: DataFrame) -> IsolationForest:
+        drawn = reference.dropna(subset=self.needs).orderBy(F.xxhash64(*KEY, F.lit(self.seed)), *KEY).limit(self.trees * self.sample)
+        x = drawn.select(*self.needs).toPandas().to_numpy(float)
         rng = np.random.default_rng(self.seed)
         n = min(self.sample, len(x))
         depth = math.ceil(math.log2(max(n, 2)))
-        self.grown = [self._grow(x[rng.choice(len(x), n, replace=False)], rng, depth) for _ in range(self.trees)]
+        if len(x) == self.trees * self.sample:
+            samples = np.split(rng.permutation(len(x)), self.trees)
+        else:
+            samples = [rng.choice(len(x), n, replace=False) for _ in range(self.trees)]
+        self.grown = [self._grow(x[at], rng, depth) for at in samples]
         self.norm = _path(n)
         return self
 
@@ -172,34 +282,33 @@ class IsolationForest:
         left = x[:, f] < at
         return f, at, self._grow(x[left], rng, depth - 1), self._grow(x[~left], rng, depth - 1)
 
-    def score(self, daily: DataFrame, key: tuple[str, ...] = ("asset_id", "day")) -> DataFrame:
-        """(key, isolation)."""
-        trees, norm, columns = self.grown, self.norm, self.columns
+    def scored(self, rows: DataFrame, out: str) -> DataFrame:
+        trees, norm, needs = self.grown, self.norm, self.needs
 
-        def lengths(node, x, at, depth, out):
+        def lengths(node, x, at, depth, total):
             if isinstance(node, int):
-                out[at] += depth + _path(node)
+                total[at] += depth + _path(node)
                 return
             f, cut, a, b = node
             left = x[at, f] < cut
             if left.any():
-                lengths(a, x, at[left], depth + 1, out)
+                lengths(a, x, at[left], depth + 1, total)
             if not left.all():
-                lengths(b, x, at[~left], depth + 1, out)
+                lengths(b, x, at[~left], depth + 1, total)
 
         def apply(batches):
             for b in batches:
-                x = b[columns].to_numpy(float)
+                x = b[needs].to_numpy(float)
                 ok = np.flatnonzero(np.isfinite(x).all(axis=1))
                 total = np.zeros(len(b))
                 for t in trees:
                     lengths(t, x, ok, 0, total)
-                out = pd.Series(np.nan, index=b.index)
-                out.iloc[ok] = 2.0 ** (-total[ok] / len(trees) / norm)
-                yield b[list(key)].assign(isolation=out)
+                score = pd.Series(np.nan, index=b.index)
+                score.iloc[ok] = 2.0 ** (-total[ok] / len(trees) / norm)
+                yield b[list(KEY)].assign(score=score)
 
-        kinds = {f.name: f.dataType.simpleString() for f in daily.schema.fields}
-        return daily.select(*key, *columns).mapInPandas(apply, ", ".join(f"{c} {kinds[c]}" for c in key) + ", isolation double")
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        return rows.select(*KEY, *needs).mapInPandas(apply, ", ".join(f"{c} {kinds[c]}" for c in KEY) + ", score double").withColumnRenamed("score", out)
 
 
 def _path(n: int) -> float:
@@ -207,6 +316,56 @@ def _path(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+def run(
+    detectors: Mapping[str, Detector],
+    daily: DataFrame,
+    reference_days: int = 30,
+    smooth_days: int = 5,
+    *,
+    start: Column | None = None,
+    end: Column | None = None,
+    assets: list[str] | None = None,
+    valid: str | None = None,
+    reference_valid: str | None = None,
+) -> DataFrame:
+    """``daily`` with one smoothed score column for each detector, all on the same reference.
+
+    The reference is either the first ``reference_days`` days of the table or, by availability, (start, end], of
+    ``assets`` alone if given.  Only with the latter may columns name which rows are scored (``valid``) and which the
+    fit may see (``reference_valid``); a row that is not true there never enters a detector's state or the smoothing.
+    Rows that lack a needed column have no score; fewer than five complete reference rows leave a detector's column
+    null.  Scores are trailing medians over ``smooth_days``, of three days or more, and null on days without quality or
+    outside the trained conditions.
+    """
+    explicit = start is not None or end is not None
+    if explicit and (start is None or end is None):
+        raise ValueError("a declared reference has both ends")
+    if not explicit and (assets is not None or valid or reference_valid):
+        raise ValueError("assets and validity go with a declared reference")
+    true = lambda c: F.coalesce(F.col(c), F.lit(False)) if c else F.lit(True)
+    if explicit:
+        reference = reference_frame(daily, start, end, true(reference_valid))
+        reference = reference if assets is None else reference.where(F.col("asset_id").isin(assets))
+    else:
+        first = daily.agg(F.min("day")).first()[0]
+        reference = daily.where(F.col("day") < F.date_add(F.lit(first).cast("date"), reference_days))
+    complete = {n: reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in d.needs]) for n, d in detectors.items()}
+    found = reference.agg(*(F.count_if(c).alias(n) for n, c in complete.items())).first()
+    out = daily
+    for name, detector in detectors.items():  # a handful of detectors
+        if found[name] < LEAST_REFERENCE:
+            out = out.withColumn(name, F.lit(None).cast("double"))
+            continue
+        fitted, ok = detector.fit(reference.where(complete[name])), complete[name] & true(valid)
+        if isinstance(fitted, _ByColumn):
+            out = out.withColumn("__raw", F.when(ok, fitted.score()))
+        else:
+            out = out.join(fitted.scored(daily.where(ok), "__raw"), list(KEY), "left")
+        shown = reduce(and_, [true(c) for c in ("data_quality_ok", "context_supported") if c in daily.columns], F.lit(True))
+        out = out.withColumn("__smooth", smooth("__raw", smooth_days, min(3, smooth_days))).withColumn(name, F.when(shown, F.col("__smooth"))).drop("__raw", "__smooth")
+    return out
+
+
 def frozen_score(daily: DataFrame, score: Column, name: str, days: int = 3) -> DataFrame:
     """A fitted score, unsupported rows nulled before smoothing, a full window of days required."""
     ok = F.coalesce("data_quality_ok", F.lit(False)) & F.coalesce("context_supported", F.lit(False))

@@ -60,7 +60,7 @@ def add_trend(daily: DataFrame, value: str, smooth_days: int = 3, slope_days: in
     the volatility is the interquartile range of the raw values and is not masked where today has none.
     """
     if smooth_days < 1 or slope_days < 1:
-        raise ValueError("windows must be positive")
+        raise ValueError("a trend needs a day at least")
     w = trailing(slope_days, by)
     s, x = f"{value}_smooth", day_index(F.col("day"))
     out = daily.withColumn(s, smooth(value, smooth_days, smooth_days, by))

@@ -126,12 +126,12 @@ def predict(daily: DataFrame, index: str, slope: str, threshold: float | None, l
     )
 
 
-def coverage_summary(pred: DataFrame, group: str = "train_id") -> DataFrame:
-    """One row: group-macro coverage of rul_lower, near-fault coverage, abstention, error; expects true_rul."""
+def coverage_summary(pred: DataFrame, group: str = "train_id", by: list[str] = ()) -> DataFrame:
+    """One row, or one for each ``by``: group-macro coverage of rul_lower, near-fault coverage, abstention, error; expects true_rul."""
     eligible = pred.where("true_rul is not null")
     covered = (F.col("rul_lower") <= F.col("true_rul")).cast("double")
     scored = F.col("rul_lower").isNotNull()
-    by_group = eligible.groupBy(group).agg(
+    by_group = eligible.groupBy(*by, group).agg(
         F.count("*").alias("rows"),
         F.count("rul_lower").alias("scored"),
         F.avg(F.when(scored, covered)).alias("cov"),
@@ -141,7 +141,7 @@ def coverage_summary(pred: DataFrame, group: str = "train_id") -> DataFrame:
         F.count(F.when(scored, F.col("rul_point"))).alias("err_n"),
         F.count(F.when(F.col("rul_lower") > 0, 1)).alias("positive"),
     )
-    return by_group.agg(
+    return by_group.groupBy(*by).agg(
         F.sum("rows").alias("episode_rows"),
         F.sum("scored").alias("scored_rows"),
         (1 - F.try_divide(F.sum("scored"), F.sum("rows"))).alias("abstention_rate"),

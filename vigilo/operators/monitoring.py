@@ -126,11 +126,28 @@ def robust_change(daily: DataFrame, channels: list[str], as_of: Column, recent_d
 def peer_comparison(changes: DataFrame, min_peers: int = 3, share: float = 2.0) -> DataFrame:
     """(asset_id, channel, peers, peer_median_z, shared): does the median of all other assets move the same way?
 
-    The target is never its own peer; with too few peers or an unknown own change the answer is null.
+    The target is never its own peer; with too few peers or an unknown own change the answer is null.  No asset meets
+    the others: leaving one value out of n moves the median by one place at most, so four middle values of a channel
+    and the side on which one's own lies give everyone's answer.  They come from one aggregation for each channel.
     """
-    known = changes.where("z is not null").select("channel", F.col("asset_id").alias("peer"), F.col("z").alias("pz"))
-    met = changes.select("asset_id", "channel", "z").join(known, "channel", "left").where("peer is null or peer <> asset_id")
-    agg = met.groupBy("asset_id", "channel", "z").agg(F.count("pz").alias("peers"), F.percentile("pz", F.lit(0.5)).alias("m"))
+    known = changes.where("z is not null")
+    n, z = F.col("n"), F.col("z")
+    sizes = known.groupBy("channel").agg(F.count("*").alias("n"))
+    # Values at ranks h - 1 to h + 2 of n, h the lower middle; outside the range they are never asked for.
+    h = F.floor((n + 1) / 2)
+    counted = known.groupBy("channel", "z").agg(F.count("*").alias("c"))
+    upto = counted.withColumn("r", F.sum("c").over(Window.partitionBy("channel").orderBy("z").rowsBetween(Window.unboundedPreceding, 0))).join(sizes, "channel")
+    at = lambda k: F.min(F.when(F.col("r") >= h + k, z)).alias(f"v{k + 1}")
+    middle = upto.groupBy("channel", "n").agg(*(at(k) for k in (-1, 0, 1, 2)))
+    met = changes.select("asset_id", "channel", "z").join(middle, "channel", "left")
+    own = z.isNotNull()
+    low, mid, high = F.col("v0"), F.col("v1"), F.col("v2")
+    odd = n % 2 == 1
+    # All n; n odd without one: an even number of others, n even: an odd number.
+    of_all = F.when(odd, mid).otherwise((mid + high) / 2)
+    of_others = F.when(odd, F.when(z < mid, (mid + high) / 2).when(z > mid, (low + mid) / 2).otherwise((low + high) / 2)).otherwise(F.when(z <= mid, high).otherwise(mid))
+    peers = F.coalesce(n, F.lit(0)) - F.when(own, 1).otherwise(0)
+    agg = met.select("asset_id", "channel", "z", peers.cast("long").alias("peers"), F.when(own, of_others).otherwise(of_all).alias("m"))
     enough = (F.col("peers") >= min_peers) & F.col("z").isNotNull()
     same = (F.abs(F.col("m")) >= share) & (F.signum("m") == F.signum("z"))
     return agg.select("asset_id", "channel", "peers", F.when(F.col("peers") >= min_peers, F.col("m")).alias("peer_median_z"), F.when(enough, same).alias("shared"))
@@ -202,5 +219,5 @@ def onboarding(daily: DataFrame, value: str, as_of: Column, reference_days: int
     off = part.join(stats.select("asset_id", "loc"), "asset_id").groupBy("asset_id").agg((F.percentile(F.abs(F.col(value) - F.col("loc")), F.lit(0.5)) * MAD_TO_SIGMA).alias("scale"))
     ready = F.date_add("first", reference_days)
     complete = (ready.cast("timestamp_ntz") <= as_of) & (F.col("days") == reference_days) & F.col("ok")
-    status = F.when(~complete, "incomplete or unsupported reference window").when(F.coalesce(F.col("scale") <= 1e-9, F.lit(True)), "degenerate reference signal").otherwise("accepted")
+    status = F.when(~complete, "reference_incomplete").when(F.coalesce(F.col("scale") <= 1e-9, F.lit(True)), "reference_flat").otherwise("accepted")
     return stats.join(off, "asset_id").select("asset_id", ready.alias("ready_on"), "days", "loc", "scale", status.alias("status"))

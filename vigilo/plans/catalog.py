@@ -467,16 +467,49 @@ def pca_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("asset_id", "day", r(X.PCAError(["peak", "charge"], k=1).fit(_reference(d)).score(), 5).alias("score"))
 
 
-@query()
+_LOF = (
+    _COV
+    + f""", st AS (SELECT row_number() OVER (ORDER BY asset_id, day) AS id, (peak - mp) / sqrt(c.a) AS x, (charge - mc) / sqrt(c.d) AS y FROM daily, c WHERE {_REF} AND peak IS NOT NULL AND charge IS NOT NULL),
+ n0 AS (SELECT p.id, q.id AS nb, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS d FROM st p JOIN st q ON p.id <> q.id),
+ n1 AS (SELECT * FROM n0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, nb) <= 20), ra AS (SELECT id, max(d) AS radius FROM n1 GROUP BY 1),
+ de AS (SELECT n1.id, 1 / (avg(greatest(d, radius)) + 1e-10) AS density FROM n1 JOIN ra ON ra.id = n1.nb GROUP BY 1),
+ qs AS (SELECT asset_id, day, (peak - mp) / sqrt(c.a) AS x, (charge - mc) / sqrt(c.d) AS y FROM daily, c WHERE peak IS NOT NULL AND charge IS NOT NULL),
+ m0 AS (SELECT asset_id, day, st.id AS nb, sqrt((qs.x - st.x) * (qs.x - st.x) + (qs.y - st.y) * (qs.y - st.y)) AS d FROM qs, st),
+ m1 AS (SELECT * FROM m0 QUALIFY row_number() OVER (PARTITION BY asset_id, day ORDER BY d, nb) <= 20),
+ lf AS (SELECT asset_id, day, avg(density) * (avg(greatest(d, radius)) + 1e-10) AS lof FROM m1 JOIN ra ON ra.id = nb JOIN de ON de.id = nb GROUP BY 1, 2)"""
+)
+
+
+@query(_LOF + " SELECT d.asset_id, d.day, round(lof, 4) AS lof FROM daily d LEFT JOIN lf USING (asset_id, day)")
 def lof_score(spark: SparkSession, sf: str) -> DataFrame:
-    d = V.daily(spark, sf).where("peak is not null")
-    return X.local_outlier_factor(d, _reference(d), ["peak", "charge"], k=35).select("asset_id", "day", r("lof").alias("lof"))
+    """Twenty neighbours on two standardised channels; a day without one of them has no score."""
+    d = V.daily(spark, sf)
+    found = X.LocalOutlierFactor(["peak", "charge"], 20).fit(_reference(d)).scored(d.where("peak is not null and charge is not null"), "lof")
+    return d.select("asset_id", "day").join(found, ["asset_id", "day"], "left").withColumn("lof", r("lof", 4))
 
 
 @query()
 def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
-    d = V.daily(spark, sf).where("peak is not null")
-    return X.IsolationForest(["peak", "charge"]).fit(_reference(d)).score(d).select("asset_id", "day", r("isolation").alias("isolation"))
+    d = V.daily(spark, sf)
+    found = X.IsolationForest(["peak", "charge"]).fit(_reference(d)).scored(d.where("peak is not null and charge is not null"), "isolation")
+    return d.select("asset_id", "day").join(found, ["asset_id", "day"], "left").withColumn("isolation", r("isolation"))
+
+
+_RUN = (
+    _COV
+    + f""", ra AS (SELECT d.asset_id, d.day, i, data_quality_ok AND context_supported AS shown, CASE WHEN n_cycles >= 8 THEN peak END AS raw,
+ CASE WHEN n_cycles >= 8 THEN (c.d * (peak - mp) * (peak - mp) - 2 * c.b * (peak - mp) * (charge - mc) + c.a * (charge - mc) * (charge - mc)) / (c.a * c.d - c.b * c.b) END AS maha FROM daily d, c),
+ rn AS (SELECT *, CASE WHEN shown AND raw IS NOT NULL AND count(raw) OVER w >= 3 THEN quantile_cont(raw, 0.5) OVER w END AS raw_score, CASE WHEN shown AND maha IS NOT NULL AND count(maha) OVER w >= 3 THEN quantile_cont(maha, 0.5) OVER w END AS maha_score FROM ra WINDOW w AS ({_W.format(4)}))"""
+)
+
+
+@query(_RUN + " SELECT asset_id, day, round(raw_score, 5) AS raw, round(maha_score, 4) AS mahalanobis, CAST(NULL AS DOUBLE) AS thin FROM rn")
+def detector_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Detectors on one declared reference, days of few cycles never scored; one whose input the reference lacks stays null."""
+    late = V.daily(spark, sf).withColumn("busy", F.col("n_cycles") >= 8).withColumn("absent", F.lit(None).cast("double"))
+    found = {"raw": X.RawSignal("peak"), "mahalanobis": X.Mahalanobis(["peak", "charge"]), "thin": X.Passthrough("absent")}
+    out = X.run(found, late, start=ntz("2024-01-01 00:00:00"), end=ntz("2024-01-16 00:00:00"), valid="busy")
+    return out.select("asset_id", "day", r("raw", 5).alias("raw"), r("mahalanobis", 4).alias("mahalanobis"), "thin")
 
 
 _SMOOTHED = f"WITH {V.DAILY}, m AS (SELECT *, CASE WHEN data_quality_ok AND context_supported THEN charge END AS raw FROM daily), sm AS (SELECT *, CASE WHEN raw IS NOT NULL AND count(raw) OVER q >= 3 THEN quantile_cont(raw, 0.5) OVER q END AS score FROM m WINDOW q AS ({_W.format(2)}))"
@@ -533,12 +566,71 @@ def budget_curve(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("budget", "alarms", "detected", r("precision").alias("precision"))
 
 
-@query()
+_PERIODS = ("2024-01-01 00:00:00", "2024-01-11 00:00:00", "2024-01-24 00:00:00")
+_GATE = R.SelectionPolicy(threshold_quantile=0.5, minimum_fault_groups=1, minimum_recall=0.1, maximum_false_alerts_per_asset_month=40.0)
+
+
+def _selection_sql(name: str, after: str, until: str, cut: str) -> str:
+    """CTEs of one candidate's replay in (after, until] at threshold ``cut`` and of its metrics, named by the candidate."""
+    n = name
+    return f"""{n}_in AS (SELECT DISTINCT asset_id FROM eps WHERE fault_ts <= {until} AND onset_ts <= {after} AND fault_ts > {after}),
+ {n}_ep AS (SELECT * FROM eps WHERE fault_ts <= {until} AND onset_ts > {after} AND asset_id NOT IN (SELECT asset_id FROM {n}_in)),
+ {n}_rows AS (SELECT * FROM daily WHERE available_at > {after} AND available_at <= {until} AND asset_id NOT IN (SELECT asset_id FROM {n}_in)),
+ {n}_n AS (SELECT asset_id, day, available_at, row_number() OVER (ORDER BY day, {n} DESC, asset_id) AS k FROM {n}_rows WHERE {n} >= {cut}),
+ {n}_f(k, done) AS (SELECT 0::BIGINT, []::STRUCT(d DATE, a VARCHAR)[] UNION ALL SELECT q.k, CASE WHEN len(list_filter(f.done, lambda x: x.d = q.day)) < 2 AND len(list_filter(f.done, lambda x: x.a = q.asset_id AND q.day - x.d < 3)) = 0 THEN list_append(f.done, {{'d': q.day, 'a': q.asset_id}}) ELSE f.done END FROM {n}_f f JOIN {n}_n q ON q.k = f.k + 1),
+ {n}_fired AS (SELECT x.a AS asset_id, x.d AS day, CAST(x.d + INTERVAL 1 DAY AS TIMESTAMP) AS av FROM (SELECT unnest(done) AS x FROM (SELECT done FROM {n}_f ORDER BY k DESC LIMIT 1))),
+ {n}_hit AS (SELECT f.*, episode_id, (epoch_us(fault_ts) - epoch_us(av)) / 86400e6 AS lead FROM {n}_fired f JOIN {n}_ep e ON f.asset_id = e.asset_id AND av >= onset_ts AND av < fault_ts),
+ {n}_per AS (SELECT e.episode_id, max(lead) AS lead FROM {n}_ep e LEFT JOIN {n}_hit h USING (episode_id) GROUP BY 1),
+ {n}_m AS (SELECT '{n}' AS name, {cut} AS threshold, (SELECT count(DISTINCT train_id) FROM {n}_ep) AS fault_groups, (SELECT count(*) FROM {n}_per) AS n_episodes, (SELECT count(lead) FROM {n}_per) AS detected,
+ (SELECT count(*) FROM {n}_fired) AS alarms, (SELECT count(*) FROM (SELECT DISTINCT asset_id, day FROM {n}_hit)) AS useful, (SELECT count({n}) / count(*)::DOUBLE FROM {n}_rows) AS score_fraction,
+ (SELECT CASE WHEN count(lead) < count(*) THEN 0.0 ELSE min(lead) END FROM {n}_per) AS worst_lead_d, (SELECT count(*) FROM {n}_rows) AS rows)"""
+
+
+def _candidates_sql() -> str:
+    c0, c1, v1 = (f"TIMESTAMP '{x}'" for x in _PERIODS)
+    cut = "(SELECT quantile_cont({0}, 0.5) FROM daily WHERE available_at > " + c0 + " AND available_at <= " + c1 + ")"
+    each = ", ".join(_selection_sql(n, c1, v1, cut.format(n)) for n in ("peak", "charge"))
+    return (
+        f"WITH RECURSIVE {V.DAILY}, {V.EPS}, {each}"
+        + """, al AS (SELECT *, detected / nullif(n_episodes, 0)::DOUBLE AS recall, (alarms - useful) / (rows / 30.0::DOUBLE) AS false_alerts FROM (SELECT * FROM peak_m UNION ALL SELECT * FROM charge_m)),
+ sf AS (SELECT *, concat_ws(',', CASE WHEN fault_groups < 1 THEN 'fault_groups' END, CASE WHEN coalesce(recall < 0.1, true) THEN 'recall' END, CASE WHEN score_fraction < 0.5 THEN 'score_fraction' END, CASE WHEN false_alerts > 40 THEN 'false_alerts' END) AS shortfalls FROM al),
+ pl AS (SELECT *, CASE WHEN shortfalls = '' THEN row_number() OVER (PARTITION BY shortfalls = '' ORDER BY recall DESC NULLS LAST, false_alerts, worst_lead_d DESC NULLS LAST, name) END AS place FROM sf)"""
+    )
+
+
+_OUT = "round(threshold, 5) AS threshold, fault_groups, n_episodes, detected, alarms, round(score_fraction, 6) AS score_fraction"
+
+
+def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    d, e = V.daily(spark, sf), V.episodes(spark)
+    return R.qualify(d, e, ["peak", "charge"], *_PERIODS, _GATE), d, e
+
+
+def _shown_candidate(q: DataFrame, *more: str | Column) -> DataFrame:
+    return q.select("name", r("threshold", 5).alias("threshold"), "fault_groups", "n_episodes", "detected", "alarms", r("score_fraction").alias("score_fraction"), *more)
+
+
+@query(_candidates_sql() + f" SELECT name, {_OUT}, round(false_alerts, 6) AS false_alerts, shortfalls, CAST(place AS INTEGER) AS place FROM pl")
 def selection_gate(spark: SparkSession, sf: str) -> DataFrame:
-    d = V.daily(spark, sf)
-    got = R.select_detector(d, V.episodes(spark), ["charge", "peak"], "2024-01-01 00:00:00", "2024-01-11 00:00:00", "2024-01-28 00:00:00", R.SelectionPolicy(threshold_quantile=0.8))
-    rows = [(c["name"], c["qualified"], "; ".join(c["reasons"]), round(c.get("threshold") or 0.0, 6)) for c in got["candidates"]]
-    return spark.createDataFrame(rows, "name string, qualified boolean, reasons string, threshold double")
+    q, _, _ = _candidates(spark, sf)
+    return _shown_candidate(q, r("false_alerts_per_asset_month").alias("false_alerts"), F.concat_ws(",", "shortfalls").alias("shortfalls"), "place")
+
+
+@query(
+    _candidates_sql()
+    + ", "
+    + ", ".join(_selection_sql(n, f"TIMESTAMP '{_PERIODS[2]}'", "(SELECT max(available_at) FROM daily)", f"(SELECT threshold FROM pl WHERE name = '{n}')").replace(f"{n}_", f"{n}_late_") for n in ("peak", "charge"))
+    + f" SELECT name, {_OUT} FROM (SELECT * FROM peak_late_m UNION ALL SELECT * FROM charge_late_m) WHERE name = (SELECT name FROM pl WHERE place = 1)"
+)
+def assess_selected(spark: SparkSession, sf: str) -> DataFrame:
+    """The chosen detector at its frozen threshold on what came after validation."""
+    q, d, e = _candidates(spark, sf)
+    return _shown_candidate(R.assess_selected(q, d, e, _PERIODS[2], _GATE))
+
+
+@query(f"WITH {V.DAILY} SELECT asset_id, day, charge FROM daily WHERE charge >= (SELECT min(charge) FROM (SELECT charge FROM daily WHERE charge IS NOT NULL ORDER BY charge DESC LIMIT 25))")
+def largest_with_ties(spark: SparkSession, sf: str) -> DataFrame:
+    return R.largest_with_ties(V.daily(spark, sf), "charge", 25).select("asset_id", "day", "charge")
 
 
 # ---- grids, outages, stress --------------------------------------------------------------------------------------
@@ -632,11 +724,11 @@ def peer_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("asset_id", "channel", "peers", r("peer_median_z").alias("peer_median_z"), "shared")
 
 
-@query(_BASE + ", v AS (SELECT d.asset_id, charge, (charge - loc) / scale AS hx FROM daily d JOIN b USING (asset_id)), k AS (SELECT asset_id, regr_intercept(charge, hx) AS location, regr_slope(charge, hx) AS scale, count(*) AS n FROM v GROUP BY 1) SELECT asset_id, round(location, 4) AS location, round(scale, 4) AS scale, n FROM k WHERE n >= 5")
+@query(_BASE + ", v AS (SELECT d.asset_id, charge, (charge - loc) / scale AS hx FROM daily d JOIN b USING (asset_id)), k AS (SELECT asset_id, regr_intercept(charge, hx) AS location, regr_slope(charge, hx) AS scale, count(*) AS n FROM v GROUP BY 1) SELECT asset_id, round(location, 7) AS location, round(scale, 6) AS scale, n FROM k WHERE n >= 5")
 def reference_affine(spark: SparkSession, sf: str) -> DataFrame:
     d, b = _baseline(spark, sf)
     view = N.apply_baseline(d.where("asset_id <> 'A19'"), b, "charge")
-    return M.affine_baseline(view, "charge", "health_index").select("asset_id", r("location", 4).alias("location"), r("scale", 4).alias("scale"), "n")
+    return M.affine_baseline(view, "charge", "health_index").select("asset_id", r("location", 7).alias("location"), r("scale").alias("scale"), "n")
 
 
 _FAMILIES = {"peak": "current", "charge": None}
@@ -789,7 +881,7 @@ def flagged_without_job(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {V.DAILY}, f AS (SELECT asset_id, min(day) AS first FROM daily GROUP BY 1), p AS (SELECT d.*, first FROM daily d JOIN f USING (asset_id) WHERE day < first + 14 AND available_at <= TIMESTAMP '2024-01-20'), s AS (SELECT asset_id, any_value(first) AS first, count(DISTINCT day) AS days, bool_and(data_quality_ok AND charge IS NOT NULL) AS ok, quantile_cont(charge, 0.5) AS loc FROM p GROUP BY 1),
  o AS (SELECT p.asset_id, 1.4826 * quantile_cont(abs(charge - loc), 0.5) AS scale FROM p JOIN s USING (asset_id) GROUP BY 1)
- SELECT s.asset_id, first + 14 AS ready_on, days, round(loc, 6) AS loc, round(scale, 6) AS scale, CASE WHEN NOT (CAST(first + 14 AS TIMESTAMP) <= TIMESTAMP '2024-01-20' AND days = 14 AND ok) THEN 'incomplete or unsupported reference window' WHEN coalesce(scale <= 1e-9, true) THEN 'degenerate reference signal' ELSE 'accepted' END AS status FROM s JOIN o USING (asset_id)"""
+ SELECT s.asset_id, first + 14 AS ready_on, days, round(loc, 6) AS loc, round(scale, 6) AS scale, CASE WHEN NOT (CAST(first + 14 AS TIMESTAMP) <= TIMESTAMP '2024-01-20' AND days = 14 AND ok) THEN 'reference_incomplete' WHEN coalesce(scale <= 1e-9, true) THEN 'reference_flat' ELSE 'accepted' END AS status FROM s JOIN o USING (asset_id)"""
 )
 def onboarding(spark: SparkSession, sf: str) -> DataFrame:
     d = V.daily(spark, sf).withColumn("context_supported", F.lit(True))
