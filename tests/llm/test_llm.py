@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vigilo.llm import bpe, chat, components, licenses, orc_tokens, packing, quality_cnn, quality_rules, queries, sharding, simhash, spotsigs
+from vigilo.llm import bpe, chat, components, licenses, nearcopies, orc_tokens, packing, quality_cnn, quality_rules, queries, sharding, simhash, spotsigs
 from vigilo.llm.wordbpe import WordEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -294,9 +294,9 @@ def brute_components(fps, bits=2):
     return {d: least[find(f)] for d, f in fps.items()}
 
 
-@pytest.mark.parametrize("hot", [4, 1000])
-def test_components_equal_brute_force(spark, hot):
-    rng = random.Random(hot)
+@pytest.mark.parametrize("bits, seed", [(2, 4), (2, 1000), (1, 4)])
+def test_components_equal_brute_force(spark, bits, seed):
+    rng = random.Random(seed)
     base = rng.getrandbits(64)
     fam = []
     for _ in range(150):
@@ -305,9 +305,9 @@ def test_components_equal_brute_force(spark, hot):
             x ^= 1 << rng.choice([0, 5, 17, 31, 32, 44, 63])
         fam.append(x)
     fam += [rng.getrandbits(64) for _ in range(50)]
-    rows = [(i, [x - (1 << 64) if x >> 63 else x]) for i, x in enumerate(fam)]
-    got = simhash.components(spark.createDataFrame(rows, "doc_id long, fps array<long>"), 2, hot)
-    assert {r.doc_id: r.component_id for r in got.collect()} == brute_components(dict(enumerate(fam)))
+    rows = [(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fam)]
+    got = simhash.components(spark.createDataFrame(rows, "doc_id long, fp long"), bits)
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute_components(dict(enumerate(fam)), bits)
 
 
 def test_simhash_query_and_dedup(spark, docs, real):
@@ -316,7 +316,7 @@ def test_simhash_query_and_dedup(spark, docs, real):
     assert {r.doc_id: int(r.fingerprint, 16) for r in got} == fps
     assert {r.doc_id: r.component_id for r in got} == brute_components(fps)
     assert simhash.simhash_components(docs).count() == docs.count() and simhash.simhash_components(docs.limit(0)).count() == 0
-    kept = simhash.near_dedup(docs)
+    kept = nearcopies.near_dedup(docs)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and len(ids) == len(set(ids)) and 8 not in ids and 7 in ids
 
@@ -330,7 +330,7 @@ def test_near_dedup_drops_near_copies_only(spark):
         w = list(w)
         w[rng.randrange(300)] = "changed"
         rows.append((100 + i, " ".join(w)))
-    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in nearcopies.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(range(60)) <= kept and len(kept) <= 62
 
 
@@ -342,16 +342,16 @@ def test_near_dedup_finds_copies_at_the_threshold(spark):
         for k, run in enumerate((0, 20, 27, 40)):  # of 296 shingles run + 4 change: Jaccard 0.85, 0.81 and 0.74
             at = rng.randrange(5, 250)
             rows.append((i + 100 * k, " ".join([*base[:at], *(f"x{k}{i}{j}" for j in range(run)), *base[at + run :]])))
-    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in nearcopies.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {i for i, _ in rows if i < 100 or i >= 300}
 
 
 def test_near_dedup_compares_texts_not_word_sets(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(1, " ".join(words)), (2, " ".join(reversed(words))), (3, " ".join(words * 3)), (4, " ".join(w for w in words for _ in range(2)))]
-    assert {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2, 4}
+    assert {r.doc_id for r in nearcopies.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2, 4}
     chain = [" ".join([f"y{j}" for j in range(15 * k)] + words[15 * k :]) for k in range(3)]  # 0 and 1, 1 and 2 are alike, 0 and 2 are not
-    assert [r.doc_id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")).collect()] == [0]
+    assert [r.doc_id for r in nearcopies.near_dedup(spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")).collect()] == [0]
 
 
 def brute_near_kept(texts, threshold=0.8):
@@ -381,8 +381,7 @@ def brute_near_kept(texts, threshold=0.8):
     return {i for i in sets if find(i) == i}, pairs
 
 
-@pytest.mark.parametrize("star", [2, 1000])
-def test_near_dedup_equals_brute_force(spark, star):
+def test_near_dedup_equals_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
@@ -394,7 +393,15 @@ def test_near_dedup_equals_brute_force(spark, star):
         family.append((10**6 + i, " ".join(t)))
     df = df.unionByName(spark.createDataFrame(family, "doc_id long, text string"))
     want, pairs = brute_near_kept(texts_of(df))
-    assert len(pairs) > 500 and {r.doc_id for r in simhash.near_dedup(df, star=star).collect()} == want
+    assert len(pairs) > 500 and {r.doc_id for r in nearcopies.near_dedup(df).collect()} == want
+
+
+def test_near_dedup_passes_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 5, 6, None), (2, "A b c d e f", 7, 8, None), (3, None, 9, 1, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id long, __row long, `first.id` int")
+    kept = nearcopies.near_dedup(df)
+    assert kept.columns == df.columns and sorted(tuple(r)[0::2] for r in kept.collect()) == [(1, 5, None), (3, 9, 0)]
+    assert nearcopies.near_dedup(df.limit(0)).count() == 0
 
 
 def test_near_dedup_judges_each_row(spark):
@@ -402,7 +409,7 @@ def test_near_dedup_judges_each_row(spark):
     near = [t.replace(f"{c}59", "other") for c, t in zip("abcdef", far)]
     # A null id alone in its group stays; null-id copies of rows with ids go.  A repeated id keeps the texts that are not near.
     rows = [(None, far[0]), (1, far[1]), (None, near[1]), (None, far[1]), (7, far[2]), (7, far[3]), (5, near[3]), (8, far[4]), (8, far[5]), (9, far[5]), (9, far[5]), (None, near[0])]
-    kept = sorted((r.doc_id or 0, r.text) for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    kept = sorted((r.doc_id or 0, r.text) for r in nearcopies.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     alone = [t for i, t in kept if not i]
     assert len(alone) == 1 and alone[0] in (far[0], near[0])
     assert kept[1:] == sorted([(1, far[1]), (7, far[2]), (5, near[3]), (8, far[4]), (8, far[5])])

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach; a local one is made only where the session names none."""
+    """The folder every executor and the driver can reach; a local one is made only on one machine, where the session names none."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="vigilo-shared-")
     spark.sparkContext.setCheckpointDir(path)
     return shared_dir(spark)

@@ -2,12 +2,12 @@
 
 A 64-bit fingerprint is cut into two halves.  Two fingerprints that differ in at most two bits differ by at most one in
 the low half, and then share one of its 32 one-wildcard variants, or agree in the high half, which is indexed whole.
-Variants are joined by equality and pairs verified on all 64 bits.
+Variants are joined by equality.  A variant of two fingerprints is verified on all 64 bits.  The fingerprints of a
+variant that more share are indexed again by the points around them, which differ from them by one bit at most: any
+two at most two bits apart share such a point, and all that share one, 65 at most, are within two bits of each other.
 
-Copies collapse first: only distinct fingerprints are indexed.  A variant shared by more than ``hot`` distinct
-fingerprints is not paired up.  Its fingerprints are indexed again by all two-wildcard variants of the whole
-fingerprint; any two fingerprints at most two bits apart share one of those, and at most four fingerprints share any,
-all within two bits of each other.  So no link is lost and nothing grows with the square of a group.
+Copies collapse first: only distinct fingerprints are indexed.  So no link is lost, no pair needs to be listed that is
+none, and nothing grows with the square of a group.
 """
 
 from __future__ import annotations
@@ -17,16 +17,15 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilo.llm.common import materialize, shuffle_partitions
 from vigilo.llm.components import connected_components
-from vigilo.llm.nearcopies import near_dedup as near_dedup  # the pipeline's stage
 
 SEED = 42
-#: Distinct fingerprints of one variant beyond which it goes through the two-wildcard index.
-HOT = 256
+#: Parts of a component's members, so that a component of a third of all rows is not joined in one task.
+SALTS = 16
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -73,64 +72,65 @@ def _variants(fps: DataFrame) -> DataFrame:
     return fps.select("place", "fp", "rep", F.explode(F.array(*keys)).alias("k")).select("place", "fp", "rep", F.col("k").bitwiseOR(place).alias("key"))
 
 
-def links(fps: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
+def _around(max_bits: int) -> Column:
+    """Points that any two fingerprints (fp) share only if they differ in ``max_bits`` or fewer: (wildcard, bits left)."""
+    bits = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
+    if max_bits == 2:
+        points = [F.struct(F.lit(-1).alias("at"), F.col("fp").bitwiseXOR(F.lit(m)).alias("rest")) for m in (0, *bits)]
+    else:
+        points = [F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(~m)).alias("rest")) for i, m in enumerate(bits)]
+    return F.array(*points)
+
+
+def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """Edges (u, v) between the ``rep`` of fingerprints ``fps`` (place, fp, rep) within ``max_bits``, up to connection.
 
-    (place, fp) is distinct, and only fingerprints of one place are linked.  Pairs found in ordinary variants are all
-    there; within hot variants the edges are stars that connect the same fingerprints.  ``max_bits`` is at most 2.
+    (place, fp) is distinct, and only fingerprints of one place are linked.  Every edge joins fingerprints within
+    ``max_bits``, and any two of them are joined or connected by such edges.  ``max_bits`` is 1 or 2.
     """
-    if not 0 <= max_bits <= 2:
-        raise ValueError("a half with one wildcard and the two-wildcard index cover at most two bits")
+    if max_bits not in (1, 2):
+        raise ValueError("a half with one wildcard and the points around a fingerprint cover one or two bits")
     # Each fingerprint makes 33 rows: dealt anew, so that a few small files don't make a few large tasks.
     variants = _variants(fps.repartition(shuffle_partitions(fps.sparkSession), "fp"))
     # Of a variant that two share, the exclusive or of all its fingerprints is the difference of the two.
     counted = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("u"), F.max("rep").alias("v"), F.bit_xor("fp").alias("x"))
     shared = materialize(counted.where("n > 1"), "simhash-shared")
     pairs = shared.where("n = 2").where(F.bit_count("x") <= max_bits).select("u", "v")
-    several = materialize(variants.join(shared.where("n > 2").select("key", "n"), "key"), "simhash-several")
-    few = several.where(F.col("n") <= hot).groupBy("key").agg(F.collect_list(F.struct("fp", "rep")).alias("xs"))  # at most ``hot`` of them
-    rest = F.slice("xs", F.col("at") + 2, F.greatest(F.size("xs") - F.col("at") - 1, F.lit(0)))
-    near = F.filter(rest, lambda y: F.bit_count(F.col("a.fp").bitwiseXOR(y.fp)) <= max_bits)
-    one = few.select(F.posexplode("xs").alias("at", "a"), "xs").select(F.col("a.rep").alias("u"), F.explode(near).alias("b")).select("u", F.col("b.rep").alias("v"))
-
-    # Hot variants: all two-wildcard variants of the whole fingerprint.
-    crowd = several.where(F.col("n") > hot).select("place", "fp", "rep").distinct()
-    deleted = [(i, j) for i in range(64) for j in range(i + 1, 64)] if max_bits == 2 else [(i, i) for i in range(64)]
-    masks = [(1 << i) | (1 << j) for i, j in deleted] if max_bits else [0]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    crowd = materialize(variants.join(shared.where("n > 2").select("key"), "key", "left_semi").select("place", "fp", "rep").distinct(), "simhash-crowd")
     stars = (
-        crowd.select("place", "fp", "rep", F.explode(F.array(*map(F.lit, signed))).alias("mask"))
-        .groupBy("place", "mask", F.col("fp").bitwiseAND(F.bitwise_not("mask")).alias("rest"))
-        .agg(F.collect_set("rep").alias("near"))  # at most four
+        crowd.select("place", "rep", F.explode(_around(max_bits)).alias("point"))
+        .groupBy("place", "point.at", "point.rest")
+        .agg(F.collect_set("rep").alias("near"))  # at most 65
         .where(F.size("near") > 1)
-        .select(F.explode("near").alias("u"), F.array_min("near").alias("v"))
+        .select(F.explode("near").alias("v"), F.array_min("near").alias("u"))
         .where("u <> v")
+        .select("u", "v")
     )
-    return pairs.unionByName(one).unionByName(stars).distinct()
+    return pairs.unionByName(stars).distinct()
+
+
+def components(prints: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``prints`` (doc_id, fp).
+
+    Rows are linked if their fingerprints are within ``max_bits``.  component_id is the smallest doc_id that links
+    reach, the row's own included; null only where no row reached has an id.  Rows with one id keep a row each.  An
+    empty table gives an empty result.
+    """
+    vertices = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-vertices")
+    labels = materialize(connected_components(links(vertices.select(F.lit(0).alias("place"), "fp", F.col("fp").alias("rep")), max_bits)), "simhash-labels")
+    named = labels.withColumnRenamed("node", "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    least = named.join(vertices, "fp").groupBy("label").agg(F.min("first").alias("least"))
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    of_fp = vertices.join(named.join(salted, ["label", "salt"]).select("fp", "label", "least"), "fp", "left")
+    of_fp = of_fp.select("fp", F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def components(prints: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
-    """(doc_id, fps, component_id) for every row of ``prints`` (doc_id, fps array<long>).
+def simhash_components(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row: fingerprint as 16 lowercase hex digits.
 
-    Rows are linked if one of their fingerprints, taken place by place, is within ``max_bits``.  component_id is the
-    smallest doc_id that links reach, the row's own included; null only where no row reached has an id.  An empty
-    table gives an empty result.  A row's class is its list of fingerprints, named by itself if there is one, else by
-    its 64-bit hash.
+    Null and empty texts have the fingerprint zero, linked like any other; a null doc_id stays null and names no
+    component that has an id; repeated rows are kept; other columns are ignored.
     """
-    named = prints.withColumn("vid", F.when(F.size("fps") == 1, F.col("fps")[0]).otherwise(F.xxhash64("fps")))
-    vertices = materialize(named.groupBy("vid").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps")), "simhash-vertices")
-    own = vertices.select("vid", F.posexplode("fps").alias("place", "fp"))
-    reps = materialize(own.groupBy("place", "fp").agg(F.min("vid").alias("rep"), F.count("*").alias("n")), "simhash-reps")
-    # Classes that agree in one place and differ elsewhere.
-    same = own.join(reps.where("n > 1"), ["place", "fp"]).where("vid <> rep").select(F.col("vid").alias("u"), F.col("rep").alias("v"))
-    labels = connected_components(links(reps.drop("n"), max_bits, hot).unionByName(same))
-    labelled = vertices.join(labels, vertices.vid == labels.node, "left").select("vid", "first", F.coalesce("label", "vid").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_vid = labelled.join(least, "label").select("vid", "component_id")
-    return named.join(of_vid, "vid").select("doc_id", "fps", "component_id")
-
-
-def simhash_components(docs: DataFrame, width: int = 3, max_bits: int = 2, hot: int = HOT) -> DataFrame:
-    """(doc_id, fingerprint, component_id): fingerprint as 16 lowercase hex digits."""
-    prints = materialize(fingerprints(docs, width).select("doc_id", F.array("fp").alias("fps")), "simhash-prints")
-    return components(prints, max_bits, hot).select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")
+    prints = materialize(fingerprints(docs, width), "simhash-prints")
+    return components(prints, max_bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
