@@ -2,9 +2,9 @@
 
 Documents are encoded, cut into pieces of at most ``capacity`` ids and packed into as few sequences as possible.
 Pieces are dealt at random to groups of bounded size; each group is packed by best fit, longest first, and then
-improved: underfull bins exchange pieces one for one and two for one, or move a piece, whenever that raises the sum of
-squared fills, until bins run empty.  The bins that stay underfull are packed once more in fresh groups, so what a
-group could not fill meets pieces of other groups.
+improved until nothing helps: underfull bins exchange pieces one for one and two for one, or move a piece, whenever that raises the sum of
+squared fills, until bins run empty.  The bins that stay underfull are packed again in fresh groups, so what a
+group could not fill meets pieces of other groups, level by level.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, underfull: float = UNDERFULL, rounds: int = 6) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int, underfull: float = UNDERFULL) -> list[list[int]]:
     """Local search on underfull bins; the sum of squared fills only rises, so it ends.
 
     A fuller bin A (fill a) and an emptier bin B (fill b <= a) trade so that A gains d > 0 ids while A still fits: a
@@ -78,7 +78,8 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, underfull:
     fill then rises by 2d(a - b + d) > 0.  The largest d that fits is taken.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
+    changed = True
+    while changed:
         work = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < underfull * capacity), key=lambda k: (-fill[k], k))
         changed = False
         # The emptiest bins give; each is tried against the fuller ones before it.
@@ -124,8 +125,6 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, underfull:
                     fill[take] += d
                     fill[give] -= d
                     changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
@@ -142,7 +141,7 @@ def _pack_groups(pieces: DataFrame, groups: int, level: int, capacity: int) -> D
         lengths = order.column("length").to_pylist()
         n = len(lengths)
         seq, at, fill = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        base = (level << 60) | (order.column("g")[0].as_py() << 24)
+        base = (level << 56) | (order.column("g")[0].as_py() << 24)
         for k, b in enumerate(pack_lengths(lengths, capacity)):
             place = 0
             for i in b:
@@ -152,7 +151,8 @@ def _pack_groups(pieces: DataFrame, groups: int, level: int, capacity: int) -> D
         out = order.select(["doc_id", "piece", "start", "length", "ids_crc32"])
         return out.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(at)).append_column("fill", pa.array(fill))
 
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)))
+    # The row's place in the written table is part of the hash, so that repeated rows don't share a group.
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(level)), F.lit(groups)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
     return dealt.groupBy("g").applyInArrow(pack, schema)
 
@@ -160,18 +160,23 @@ def _pack_groups(pieces: DataFrame, groups: int, level: int, capacity: int) -> D
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pieces with their sequence_id and gapless offset.
 
-    Two levels: all pieces in bounded groups, then the underfull bins' pieces of all groups in fresh bounded groups.
-    Repeated rows are packed like any other.  An empty table gives an empty result.
+    All pieces are packed in bounded groups; then, level by level, the pieces of the underfull bins of all groups in
+    fresh bounded groups, until they all fit one group or a level leaves more than half of them.  Repeated rows are
+    packed like any other.  An empty table gives an empty result.  Columns besides those of a piece are ignored.
     """
-    kept = materialize(pieces, "pack-pieces")
-    n = kept.count()
-    first = materialize(_pack_groups(kept, max(1, -(-n // group_pieces)), 1, capacity), "pack-first")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    under = F.col("fill") < int(UNDERFULL * capacity)
-    rest = first.where(under)
-    m = rest.count()
-    again = _pack_groups(rest.select(*columns[:5]), max(1, -(-m // group_pieces)), 2, capacity)
-    return first.where(~under).select(*columns).unionByName(again.select(*columns))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    rest = materialize(pieces.select(*columns), "pack-pieces")
+    n, level, done = rest.count(), 1, None
+    while True:
+        groups = max(1, -(-n // group_pieces))
+        packed = materialize(_pack_groups(rest.select(*columns), groups, level, capacity), f"pack-{level}")
+        rest = packed.where(F.col("fill") < int(UNDERFULL * capacity))
+        left = rest.count() if groups > 1 else 0
+        full = packed if not left or 2 * left > n else packed.where(F.col("fill") >= int(UNDERFULL * capacity))
+        done = full if done is None else done.unionByName(full)
+        if not left or 2 * left > n:
+            return done.select(*columns, "sequence_id", "offset")
+        n, level = left, level + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
