@@ -1,11 +1,13 @@
 """License scans, in DataFrame expressions only.
 
-Texts become word shingles; overlapping windows of shingles get MinHash bands by one permutation: the hash space is
-cut into BINS, and each bin's smallest hash in the window is a band of one row.  A shingle of a template that stands in
-a window loses its band only to a smaller hash in the same bin, so the chance that a window with a whole template
-misses all its bands is below (WINDOW / (2 * BINS)) ** shingles.  That is too much for templates of up to FEW shingles:
-each of their shingles is a band wherever it stands, so that none of them is missed.  Bands retrieve templates; matches
-are then verified by the exact share of the template's shingles in the text around the window.
+Texts become word shingles.  Overlapping windows of shingles, of texts and templates alike, get MinHash bands by one
+permutation: the hash space is cut into BINS, and each bin's smallest hash in the window is a band of one row.  A
+template of more than SHARED shingles fills at least that many of the WINDOW of some window of the text, the same as
+one of its own windows has; a shared shingle loses its band only to a smaller hash of one of the others in its bin.
+So the chance that no band shows it is below ((WINDOW - SHARED) / (2 * BINS)) ** SHARED.  Templates of up to FEW
+shingles have too few; each of their shingles is a band wherever it stands, so that none of them is missed.  Bands
+retrieve templates; matches are then verified by the exact share of the template's shingles in the text around the
+window.
 """
 
 from __future__ import annotations
@@ -18,10 +20,14 @@ from pyspark.sql import functions as F
 
 WIDTH = 5
 WINDOW, STEP = 16, 8
-BINS_LOG2 = 10
+#: Shingles of a template that lie together in some window, wherever it stands.
+SHARED = WINDOW - STEP + 1
+BINS_LOG2 = 5
 CONTAINMENT = 0.8
 #: Templates of so many shingles or fewer are found by each of their shingles.
-FEW = 8
+FEW = 16
+#: Bands of all templates up to which they are broadcast.
+BROADCAST_BANDS = 100_000
 #: Bits of the table that tells bands of no template at once.
 SIEVE_LOG2 = 18
 
@@ -117,7 +123,7 @@ TEMPLATES = [
 
 def miss_chance(shingles: int) -> float:
     """Upper bound on the chance that no band of a window that holds a whole template of so many shingles shows it."""
-    return 0.0 if shingles <= FEW else (WINDOW / (2 * (1 << BINS_LOG2))) ** min(shingles, WINDOW - STEP)
+    return 0.0 if shingles <= FEW else ((WINDOW - SHARED) / (2 * (1 << BINS_LOG2))) ** SHARED
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -154,22 +160,30 @@ def sieve(hashes: Iterable[int]) -> Callable[[Column], Column]:
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(template, license, shingles) of templates with WIDTH words or more; the list's length bounds it."""
+    """(template, license, shingles, bands) of templates with WIDTH words or more; the list's length bounds it.
+
+    The bands of all windows that overlap the template, those that begin before it included; of short ones each shingle.
+    """
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, text string")
-    return rows.select("template", "license", F.array_distinct(shingle_hashes(F.col("text"))).alias("shingles")).where("size(shingles) > 0")
+    known = rows.select("template", "license", shingle_hashes(F.col("text")).alias("h")).where("size(h) > 0")
+    window = lambda j: F.slice("h", F.greatest(j, F.lit(0)) + 1, WINDOW + F.least(j, F.lit(0)))
+    every = F.flatten(F.transform(F.sequence(F.lit(1 - WINDOW), F.size("h") - 1), lambda j: bands(window(j), lambda x: F.lit(False))))
+    shingles = F.array_distinct("h")
+    return known.select("template", "license", shingles.alias("shingles"), F.when(F.size(shingles) <= FEW, shingles).otherwise(F.array_distinct(every)).alias("bands"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, template, containment, word): each template found in each document, where it shows best.
 
-    ``word`` is the first word of the window, counted from 0.  Null texts and texts under WIDTH words hold nothing;
-    rows with one doc_id are reported together; without templates or rows the result is empty.
+    ``word`` is the first word of the window, counted from 0.  Null texts and texts under WIDTH words hold nothing.
+    Rows that agree in id and text are reported once, others by themselves, those without an id included.  Without
+    templates or rows the result is empty.  Other columns of the input are ignored.
     """
     spark = docs.sparkSession
     known = template_table(spark, templates)
     held = known.collect()  # the templates, a fixed list
     longest = max((len(r.shingles) for r in held), default=0)
-    passes = sieve(x for r in held for x in r.shingles)
+    passes = sieve(x for r in held for x in r.bands)
     always = sieve(x for r in held if len(r.shingles) <= FEW for x in r.shingles)
 
     def hits(h: Column) -> Column:
@@ -184,10 +198,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containm
     # One expression with its parts bound to lambda variables, and an outer explode: a filter on it would be pushed
     # below and compute it anew for each use.
     hashes = F.filter(F.array(shingle_hashes(F.coalesce("text", F.lit("")))), lambda h: F.size(h) > 0)
-    near = docs.select("doc_id", F.explode_outer(F.flatten(F.transform(hashes, hits))).alias("hit")).select("doc_id", "hit.*")
-    by_band = known.select("template", "license", "shingles", F.explode("shingles").alias("band"))
-    matched = near.join(F.broadcast(by_band), "band").select(
-        "doc_id", "license", "template", "window", (F.size(F.array_intersect("shingles", "around")) / F.size("shingles")).alias("containment")
+    near = docs.select("doc_id", F.xxhash64("text").alias("row"), F.explode_outer(F.flatten(F.transform(hashes, hits))).alias("hit")).select("doc_id", "row", "hit.*")
+    by_band = known.select("template", "license", "shingles", F.explode("bands").alias("band"))
+    if sum(len(r.bands) for r in held) <= BROADCAST_BANDS:
+        by_band = F.broadcast(by_band)
+    matched = near.join(by_band, "band").select(
+        "doc_id", "row", "license", "template", "window", (F.size(F.array_intersect("shingles", "around")) / F.size("shingles")).alias("containment")
     )
-    best = matched.where(F.col("containment") >= containment).groupBy("doc_id", "license", "template").agg(F.min(F.struct(-F.col("containment"), F.col("window"))).alias("b"))
+    best = matched.where(F.col("containment") >= containment).groupBy("doc_id", "row", "license", "template").agg(F.min(F.struct(-F.col("containment"), F.col("window"))).alias("b"))
     return best.select("doc_id", "license", "template", (-F.col("b.col1")).alias("containment"), (F.col("b.window").cast("long") * STEP).alias("word"))
