@@ -46,6 +46,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spared(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its columns of these names renamed, by underscores at the end, so that an operator can add its own."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    moved = {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = c + "_"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            moved[c] = new
+    return df.withColumnsRenamed(moved) if moved else df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

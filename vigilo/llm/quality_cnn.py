@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vigilo.llm.common import spared
 
 KERNEL, STRIDE, EMBED, FILTERS = 8, 2, 6, 24
 CHUNK, STEP = 512, 384
@@ -202,13 +205,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_ROWS_PER_CLAS
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a column quality_score; other columns pass through.  Null and empty texts are scored too."""
+    """``docs`` with a column quality_score; other columns pass through.
+
+    Null and empty texts are scored too, repeated rows each, and an empty table gives an empty result.  An input
+    column named quality_score is kept with an underscore at its end.
+    """
+    docs = spared(docs, "quality_score")
     fields = docs.schema.fieldNames()
 
     def apply(batches):
         for batch in batches:
             yield batch.append_column("quality_score", pa.array(score_texts(model, batch.column(fields.index(text)).to_pylist())))
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+
+
+def keep_documents(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with their columns as they were."""
+    held = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return score(held, model).where(F.col("quality_score") >= least).select("row.*")
