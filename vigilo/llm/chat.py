@@ -1,17 +1,20 @@
 """Chat formatting, in DataFrame and SQL expressions only.
 
-Records arrive as JSON of different layouts.  A record's schema fingerprint, the hash of its nested field paths,
-selects a declarative mapping that gives canonical turns (role, text).  Turns are written in a template that marks
+Records arrive as JSON of different layouts.  A record's schema fingerprint, the hash of those of its nested field
+paths that mappings know, selects a declarative mapping that gives canonical turns (role, text).  Turns are written in a template that marks
 them; control strings inside texts are escaped reversibly, and stretches of assistant texts form the loss mask.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilo.llm.common import spared
+
 #: The template's marks: a turn is START, role, HEAD, text, END.
 START, HEAD, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that must not stand unescaped in a formatted text: the template's own and those of templates in public use.
@@ -56,10 +59,43 @@ def schema_fingerprint(record: Column) -> Column:
     return F.sha2(names.cast("binary"), 256)
 
 
+def _paths(m: Mapping) -> tuple[str, ...]:
+    """The field paths of a mapping's sample."""
+    held = json.loads(m.sample)
+    return tuple(sorted([*held, *(f"{m.items}[].{c}" for c in (held[m.items][0] if m.items else ()))]))
+
+
+def known_paths(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """The sorted field paths of a JSON text that some mapping knows; others do not matter.  Null for bad JSON and for what is no object."""
+    parsed = F.try_parse_json(record)
+    shape = F.schema_of_variant(parsed)
+    top = F.json_object_keys(record)
+    paths = [F.filter(top, lambda k: k.isin(sorted({p for m in mappings for p in _paths(m) if "[]." not in p})))]
+    for items in sorted({m.items for m in mappings if m.items}):
+        inner = F.schema_of_variant(F.try_variant_get(parsed, f"$.{items}", "variant"))
+        for name in sorted({p.split("[].")[1] for m in mappings if m.items == items for p in _paths(m) if "[]." in p}):
+            here = inner.rlike(rf"^ARRAY<OBJECT<(.*, )?{name}: ")
+            paths.append(F.when(here, F.array(F.lit(f"{items}[].{name}"))).otherwise(F.array().cast("array<string>")))
+    return F.when(shape.startswith("OBJECT"), F.sort_array(F.array_distinct(F.concat(*paths))))
+
+
+def _hash(paths: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", paths).cast("binary"), 256)
+
+
 def fingerprints_of(spark: SparkSession, mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, str]:
     """name -> fingerprint, from each mapping's sample; a list that long."""
     rows = spark.createDataFrame([(m.name, m.sample) for m in mappings], "name string, sample string")
-    return {r[0]: r[1] for r in rows.select("name", schema_fingerprint(F.col("sample"))).collect()}
+    return {r[0]: r[1] for r in rows.select("name", _hash(known_paths(F.col("sample"), mappings))).collect()}
+
+
+def unknown_layouts(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(fingerprint, shape, n): the whole schemas of the records that ``canonical`` gives no turns, and how many have each.
+
+    Bad JSON and null records have null for both.
+    """
+    lost = canonical(records.select(record), record, mappings).where("turns is null")
+    return lost.groupBy(schema_fingerprint(F.col(record)).alias("fingerprint"), F.schema_of_variant(F.try_parse_json(record)).alias("shape")).agg(F.count("*").alias("n"))
 
 
 def _turns(m: Mapping, record: Column) -> Column:
@@ -87,16 +123,24 @@ def _turns(m: Mapping, record: Column) -> Column:
 def canonical(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``records`` with ``layout`` and ``turns``: array of (role, text) by the mapping its fingerprint selects.
 
-    Unknown layouts, bad JSON and null records have layout null and null turns; null roles and texts become empty.
+    Fields that no mapping knows are ignored.  A record whose known paths are those of no mapping goes to the first
+    whose fields it has all of; of a list of turns only the list itself is needed, and it may be empty.  Other
+    layouts, bad JSON and null records have layout null and null turns: ``unknown_layouts`` counts them.  Null roles
+    and texts become empty.  Repeated rows are kept, an empty table gives an empty result, and an input column named
+    layout or turns is kept with an underscore at its end.
     """
     known = fingerprints_of(records.sparkSession, mappings)
-    marked = records.withColumn("__fp", schema_fingerprint(F.col(record)))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    paths = known_paths(F.col(record), mappings)
+    marked = spared(records, *({"layout", "turns", "__paths"} - {record})).withColumn("__paths", paths).withColumn("__fp", _hash(F.col("__paths")))
+    exact, partly, turns = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for m in reversed(mappings):
+        exact = F.when(F.col("__fp") == known[m.name], F.lit(m.name)).otherwise(exact)
+        needed = F.array(*map(F.lit, [m.items] if m.items else _paths(m)))
+        partly = F.when(F.size(F.array_except(needed, "__paths")) == 0, F.lit(m.name)).otherwise(partly)
+    laid = marked.withColumn("layout", F.when(F.col("__paths").isNotNull(), F.coalesce(exact, partly)))
     for m in reversed(mappings):
-        here = F.col("__fp") == known[m.name]
-        layout = F.when(here, F.lit(m.name)).otherwise(layout)
-        turns = F.when(here, _turns(m, F.col(record)).cast(TURNS)).otherwise(turns)
-    return marked.withColumn("layout", layout).withColumn("turns", turns).drop("__fp")
+        turns = F.when(F.col("layout") == m.name, _turns(m, F.col(record)).cast(TURNS)).otherwise(turns)
+    return laid.withColumn("turns", turns).drop("__fp", "__paths")
 
 
 def _quoted(s: str) -> str:
@@ -133,7 +177,7 @@ def formatted(canonical_turns: DataFrame) -> DataFrame:
             F.when(t.role == "assistant", F.length(escape(t.text))).otherwise(0).alias("length"),
         ),
     )
-    return canonical_turns.withColumn("formatted", format_turns(F.col("turns"))).withColumn("loss_mask", mask)
+    return spared(canonical_turns, "formatted", "loss_mask").withColumn("formatted", format_turns(F.col("turns"))).withColumn("loss_mask", mask)
 
 
 def read_back(df: DataFrame) -> DataFrame:
@@ -144,6 +188,6 @@ def read_back(df: DataFrame) -> DataFrame:
         role, text = F.substring_index(s, HEAD, 1), F.substring_index(s, HEAD, -1)
         return F.struct(unescape(role).alias("role"), unescape(F.substring(text, F.lit(1), F.length(text) - len(END))).alias("text"))
 
-    df = df.withColumn("__cut", cut)
+    df = spared(df, "read_turns", "loss_text", "__cut").withColumn("__cut", cut)
     lost = F.zip_with("__cut", "loss_mask", lambda s, m: unescape(F.substring(s, m.skip + 1, m.length)))
     return df.withColumn("read_turns", F.transform("__cut", turn)).withColumn("loss_text", F.array_join(lost, "")).drop("__cut")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilo.llm.common import scratch_path, table
@@ -43,6 +43,36 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+def _dealt(held: Column) -> Column:
+    """A conversation as a JSON record, in one of the layouts that can hold it, by its id."""
+    role, text = (lambda i: held[i].role), (lambda i: held[i].content)
+    two = (F.size(held) == 2) & (role(0) == "user") & (role(1) == "assistant") & (text(0) != "")
+    three = (F.size(held) == 3) & (role(0) == "system") & (role(1) == "user") & (role(2) == "assistant") & (text(0) != "") & (text(1) != "")
+    cut = F.locate("\n\n", text(0))
+    halves = two & (cut > 1) & (cut < F.length(text(0)) - 1)
+    plain = ~F.exists(held, lambda t: t.role.isin("human", "gpt"))
+    renamed = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    pair = lambda a, b: F.struct(text(0).alias(a), text(1).alias(b))
+    made = {
+        "messages": (F.lit(True), F.struct(F.transform(held, lambda t: F.struct(t.role.alias("role"), t.content.alias("content"))).alias("messages"))),
+        "conversations": (plain, F.struct(F.transform(held, lambda t: F.struct(renamed(t.role).alias("from"), t.content.alias("value"))).alias("conversations"))),
+        "prompt_response": (two, pair("prompt", "response")),
+        "prompt_completion": (two, pair("prompt", "completion")),
+        "instruction_only": (two, pair("instruction", "output")),
+        "instruction": (
+            halves,
+            F.struct(F.substring(text(0), F.lit(1), cut - 1).alias("instruction"), F.substring(text(0), cut + 2, F.length(text(0))).alias("input"), text(1).alias("output")),
+        ),
+        "system_question": (three, F.struct(text(0).alias("system_prompt"), text(1).alias("question"), text(2).alias("response"))),
+    }
+    names = F.filter(F.array(*(F.when(can, F.lit(name)) for name, (can, _) in made.items())), lambda n: n.isNotNull())
+    name = names[F.pmod(F.xxhash64("conv_id"), F.size(names)).cast("int")]
+    record = F.lit(None).cast("string")
+    for k, (_, fields) in made.items():
+        record = F.when(name == k, F.to_json(fields)).otherwise(record)
+    return record
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilo.llm import chat
 
@@ -50,8 +80,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string"))
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     held = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("held"))
-    record = F.to_json(F.struct(F.transform("held", lambda t: F.struct(t.role.alias("role"), t.content.alias("content"))).alias("messages")))
-    read = chat.read_back(chat.formatted(chat.canonical(held.select("conv_id", record.alias("record")))))
+    read = chat.read_back(chat.formatted(chat.canonical(held.select("conv_id", _dealt(F.col("held")).alias("record")))))
     lines = F.array_join(F.transform("read_turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -116,4 +145,27 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+def _control_marks(column: str) -> str:
+    """SQL for the marks that escaping adds to a text: one for each backslash and for each control string."""
+    from vigilo.llm.chat import CONTROL
+
+    return " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in (*CONTROL, "\\"))
+
+
+ORACLES: dict[str, str] = {
+    "op4_chat_format": f"""
+        with t as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce("text", '') as txt from conversations
+            union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), c as (
+            select conv_id, count(*) as n_turns,
+                string_agg(role || chr(10) || txt || chr(10), '' order by turn, role, txt) as lines,
+                coalesce(string_agg(txt, '' order by turn, role, txt) filter (where role = 'assistant'), '') as loss,
+                sum(23 + length(role) + length(txt) + {_control_marks("role")} + {_control_marks("txt")}) as formatted_chars
+            from t group by conv_id
+        )
+        select cast(conv_id as bigint) as conv_id, n_turns, sha256(lines) as turns_sha256, cast(length(loss) as bigint) as loss_chars,
+            sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars
+        from c
+    """,
+}
