@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from vigilo.llm.common import scratch_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -132,6 +134,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, BYTE_RANKS, F.col("block"), digest=True)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilo.llm.align import align
+
+    return align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilo.llm.fim import fill_in_middle
+
+    return fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_cnn": op2_quality_cnn,
@@ -143,6 +157,8 @@ QUERIES = {
     "op8_orc_tokens": op8_orc_tokens,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_alignment": op11_alignment,
+    "op13_fim": op13_fim,
 }
 
 def _control_marks(column: str) -> str:
@@ -168,4 +184,25 @@ ORACLES: dict[str, str] = {
             sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars
         from c
     """,
+    "op13_fim": """
+        with d as (
+            select doc_id, coalesce("text", '') as txt, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+        ), u as (
+            select doc_id, txt, cast(length(txt) as bigint) as n, cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+                cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4
+            from d
+        ), f as (
+            select doc_id, txt, n, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+                case when txt = '' or contains(txt, '<P>') or contains(txt, '<S>') or contains(txt, '<M>') or h3 % 100 >= 90 then 'plain'
+                    when h4 % 100 < 20 then 'spm' else 'psm' end as form
+            from u
+        ), p as (
+            select *, substr(txt, 1, a) as pre, substr(txt, a + 1, b - a) as mid, substr(txt, b + 1) as suf from f
+        )
+        select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+            sha256(case form when 'plain' then txt when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+                else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+            sha256(txt) as restored_sha256
+        from p
+    """,
 }
