@@ -140,6 +140,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilo.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(toxicity.remainder() == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilo.llm.fim import fill_in_middle
 
@@ -158,6 +167,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_alignment": op11_alignment,
+    "op12_toxicity": op12_toxicity,
     "op13_fim": op13_fim,
 }
 
