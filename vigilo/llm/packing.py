@@ -30,7 +30,10 @@ UNDERFULL = 0.995
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document; null text counts as empty and holds the end id alone."""
+    """(doc_id, piece, start, length, ids_crc32) of every document; null text counts as empty and holds the end id alone.
+
+    Rows with a null id and repeated rows give their pieces like any other; an empty table gives none.
+    """
 
     def encode(batches):
         enc = encoder(tokenizer)
@@ -161,23 +164,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     """Pieces with their sequence_id and gapless offset.
 
     All pieces are packed in bounded groups; then, level by level, the pieces of the underfull bins of all groups in
-    fresh bounded groups, until they all fit one group or a level leaves more than half of them.  Repeated rows are
-    packed like any other.  An empty table gives an empty result.  Columns besides those of a piece are ignored.
+    fresh bounded groups, until they fit one group or a level leaves as many bins as there were; its result is then
+    set aside.  Repeated rows are packed like any other.  An empty table gives an empty result.  Columns besides those
+    of a piece are ignored.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    least = int(UNDERFULL * capacity)
     rest = materialize(pieces.select(*columns), "pack-pieces")
-    n, level, done = rest.count(), 1, None
+    n, bins, level, done = rest.count(), None, 1, None
     while True:
         groups = max(1, -(-n // group_pieces))
         packed = materialize(_pack_groups(rest.select(*columns), groups, level, capacity), f"pack-{level}")
-        rest = packed.where(F.col("fill") < int(UNDERFULL * capacity))
-        left = rest.count() if groups > 1 else 0
-        full = packed if not left or 2 * left > n else packed.where(F.col("fill") >= int(UNDERFULL * capacity))
+        firsts = packed.where("offset = 0")  # one for each bin
+        if bins is not None and firsts.count() >= bins:
+            packed, groups = rest, 1
+        under = packed.where(F.col("fill") < least)
+        left = under.count() if groups > 1 else 0
+        full = packed.where(F.col("fill") >= least) if left else packed
         done = full if done is None else done.unionByName(full)
-        if not left or 2 * left > n:
+        if not left:
             return done.select(*columns, "sequence_id", "offset")
-        n, level = left, level + 1
+        rest, n, bins, level = under, left, firsts.where(F.col("fill") < least).count(), level + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """The pieces of all documents with their places, as ``encode_pieces`` and ``pack`` give them."""
     return pack(encode_pieces(docs, tokenizer, capacity, end_id), capacity)

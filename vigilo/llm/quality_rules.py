@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_ROWS_PER_CLAS
 
 
 def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns (doc_id alone by default), counts and features.  Null text counts as empty."""
+    """The ``keep`` columns (doc_id alone by default), counts and features of every row, repeated ones too.  Null text counts as empty."""
     from pyspark.sql import types as T
 
     keep = keep or ["doc_id"]
@@ -215,7 +215,7 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """doc_id, counts, base_failed, kept for every row of ``docs``."""
+    """doc_id, counts, base_failed, kept for every row of ``docs``; repeated rows one each, an empty table gives an empty result."""
     return measured(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules)).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
@@ -224,6 +224,6 @@ def keep_documents(docs: DataFrame, rules: list[Rule], text: str = "text") -> Da
 
     The whole row travels in one struct past the measurements, so no name of the input can clash.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("t"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("t"))
     passed = measured(whole, "t", ["row"]).where(~base_failed() & verdict(rules))
     return passed.select("row.*")

@@ -50,7 +50,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long.  Null text counts as no words."""
+    """(doc_id, fp) for every row; fp is the fingerprint as a signed long.  Null text counts as no words; rows with a null id and repeated rows are kept."""
 
     def apply(batches):
         for batch in batches:
