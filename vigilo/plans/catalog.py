@@ -531,7 +531,7 @@ _REPLAY = f"""WITH RECURSIVE {V.DAILY}, n AS (SELECT asset_id, day, available_at
 
 
 def _fired(d: DataFrame) -> DataFrame:
-    return R.replay_alerts(d, "charge", 40.0, 2, 3)
+    return R.replay_alerts(d, "charge", 40.0, 2, 3).select("asset_id", "day")
 
 
 @query(_REPLAY + " SELECT asset_id, day FROM fired")

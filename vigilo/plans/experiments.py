@@ -25,7 +25,7 @@ def tournament(daily: DataFrame, episodes: DataFrame, scores: dict[str, Column],
     for name in scores:  # a handful of detectors
         if cuts[name] is None:
             continue
-        fired = later.join(replay.replay_alerts(later, name, cuts[name], budget, cooldown), ["asset_id", "day"], "left_semi")
+        fired = later.join(replay.replay_alerts(later, name, cuts[name], budget, cooldown), ["asset_id", "day", "available_at"], "left_semi")
         one = replay.alert_metrics(fired, eps, n).select(F.lit(name).alias("name"), F.lit(cuts[name]).alias("threshold"), "*")
         out = one if out is None else out.unionByName(one)
     return out
