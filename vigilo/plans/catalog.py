@@ -779,6 +779,31 @@ def surfaced_assets(spark: SparkSession, sf: str) -> DataFrame:
     return I.surfaced(_shown(spark, sf))
 
 
+_STREAM_DAYS = "available_at <= (SELECT max(available_at) FROM daily) - INTERVAL {} DAY"
+
+
+@query(
+    _TREND
+    + " SELECT asset_id, day, round(x_smooth, 6) AS x_smooth, round(CASE WHEN x_slope IS NOT NULL THEN x_slope END, 5) AS x_slope, round(x_vol, 6) AS x_vol FROM t WHERE "
+    + _STREAM_DAYS.format(3)
+)
+def streamed_trend(spark: SparkSession, sf: str) -> DataFrame:
+    """Asset-days in four batches, dealt at random over them; the days that the watermark has closed."""
+    from vigilo.streaming import run, windows
+
+    d = V.daily(spark, sf).withColumn("x", F.when(F.col("data_quality_ok"), F.col("charge"))).select("asset_id", "day", "x", "data_quality_ok", "context_supported")
+    out = run.replayed(lambda s: windows.stream_windows(s, "x", "3 days"), d.withColumn("wave", F.weekofyear("day")), "streamed-trend", order="wave")
+    return out.where("reported").select("asset_id", "day", r("smooth").alias("x_smooth"), r("slope", 5).alias("x_slope"), r("vol").alias("x_vol"))
+
+
+@query(_REPLAY + " SELECT asset_id, day FROM fired WHERE day + 1 <= (SELECT max(available_at) FROM daily WHERE charge >= 40) - INTERVAL 2 DAY")
+def streamed_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    from vigilo.streaming import alerts, run
+
+    d = V.daily(spark, sf).select("asset_id", "day", "available_at", "charge").withColumn("wave", F.weekofyear("day"))
+    return run.replayed(lambda s: alerts.stream_alerts(s, "charge", 40.0, 2, 3, "2 days"), d, "streamed-alerts", order="wave").select("asset_id", "day")
+
+
 @query()
 def dashboard_payload(spark: SparkSession, sf: str) -> DataFrame:
     return I.dashboard_payload(_shown(spark, sf))

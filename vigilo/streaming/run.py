@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vigilo.session import shared_folder
 
@@ -29,9 +30,17 @@ def run_available(build: Callable[[DataFrame], DataFrame], source: str, schema,
     return spark.read.schema(out.schema).parquet(sink)
 
 
-def replayed(build: Callable[[DataFrame], DataFrame], rows: DataFrame, name: str, files: int = 4) -> DataFrame:
-    """``rows`` as a stream: written to the shared folder in ``files`` parts, read in that many batches, result read back."""
+def replayed(build: Callable[[DataFrame], DataFrame], rows: DataFrame, name: str, order: str) -> DataFrame:
+    """``rows`` as a stream: written to the shared folder by ``order``, read batch by batch in that order, result read back.
+
+    Rows of one value of ``order`` come in one batch, in no order; a column with a few values, such as the week.
+    """
     spark = rows.sparkSession
     root = shared_folder(spark, name)
-    rows.repartition(files).write.parquet(f"{root}/in")
-    return run_available(build, f"{root}/in", rows.schema, f"{root}/out", f"{root}/checkpoint", 1, spark)
+    waves = sorted(r[0] for r in rows.select(order).distinct().collect())
+    kept = rows.schema
+    rows.repartition(order).write.partitionBy(order).parquet(f"{root}/all")
+    parts = spark.read.schema(kept).parquet(f"{root}/all")
+    for wave in waves:
+        parts.where(F.col(order) == wave).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return run_available(build, f"{root}/in", spark.read.parquet(f"{root}/in").schema, f"{root}/out", f"{root}/checkpoint", 1, spark)
