@@ -784,7 +784,7 @@ _STREAM_DAYS = "available_at <= (SELECT max(available_at) FROM daily) - INTERVAL
 
 @query(
     _TREND
-    + " SELECT asset_id, day, round(x_smooth, 6) AS x_smooth, round(CASE WHEN x_slope IS NOT NULL THEN x_slope END, 5) AS x_slope, round(x_vol, 6) AS x_vol FROM t WHERE "
+    + " SELECT asset_id, day, round(x_smooth, 6) AS x_smooth, round(x_slope, 4) AS x_slope, round(x_vol, 8) AS x_vol FROM t WHERE "
     + _STREAM_DAYS.format(3)
 )
 def streamed_trend(spark: SparkSession, sf: str) -> DataFrame:
@@ -793,7 +793,7 @@ def streamed_trend(spark: SparkSession, sf: str) -> DataFrame:
 
     d = V.daily(spark, sf).withColumn("x", F.when(F.col("data_quality_ok"), F.col("charge"))).select("asset_id", "day", "x", "data_quality_ok", "context_supported")
     out = run.replayed(lambda s: windows.stream_windows(s, "x", "3 days"), d.withColumn("wave", F.weekofyear("day")), "streamed-trend", order="wave")
-    return out.where("reported").select("asset_id", "day", r("smooth").alias("x_smooth"), r("slope", 5).alias("x_slope"), r("vol").alias("x_vol"))
+    return out.where("reported").select("asset_id", "day", r("smooth").alias("x_smooth"), r("slope", 4).alias("x_slope"), r("vol", 8).alias("x_vol"))
 
 
 @query(_REPLAY + " SELECT asset_id, day FROM fired WHERE day + 1 <= (SELECT max(available_at) FROM daily WHERE charge >= 40) - INTERVAL 2 DAY")

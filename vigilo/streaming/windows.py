@@ -37,7 +37,7 @@ def quantile(values: list[float], q: float) -> float:
     at = (len(values) - 1) * q
     k = int(at)
     ordered = sorted(values)
-    return ordered[k] if k + 1 >= len(ordered) else ordered[k] + (at - k) * (ordered[k + 1] - ordered[k])
+    return ordered[k] if at == k else (k + 1 - at) * ordered[k] + (at - k) * ordered[k + 1]
 
 
 @dataclass(frozen=True)
