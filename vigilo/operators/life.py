@@ -88,10 +88,13 @@ class LifePolicy:
     form: str = "loglinear"
 
 
-def predict(daily: DataFrame, index: str, slope: str, threshold: float | None, lo: float | None, hi: float | None, policy: LifePolicy = LifePolicy(), as_of: Column | None = None, stale_hours: float = 24.0) -> DataFrame:
-    """rul_point, rul_lower, rul_upper and prediction_state; later rules override earlier ones, so the last is tested first."""
+def predict(daily: DataFrame, index: str, slope: str, threshold: float | Column | None, lo: float | Column | None, hi: float | Column | None, policy: LifePolicy = LifePolicy(), as_of: Column | None = None, stale_hours: float = 24.0) -> DataFrame:
+    """rul_point, rul_lower, rul_upper and prediction_state; later rules override earlier ones, so the last is tested first.
+
+    Threshold and shifts are numbers, or columns where they differ by row; without a threshold, or either shift, a row is uncalibrated.
+    """
     i, s = F.col(index), F.col(slope)
-    t = F.lit(threshold).cast("double")
+    t, low, high = (F.lit(x).cast("double") for x in (threshold, lo, hi))
     known = i.isNotNull() & s.isNotNull()
     quiet = known & (s <= policy.min_slope)
     point = project(i, s, t, policy.min_slope, policy.horizon, policy.form)
@@ -103,8 +106,7 @@ def predict(daily: DataFrame, index: str, slope: str, threshold: float | None, l
         rules.append((F.col("last_observed_at").isNull() | (late > stale_hours), "stale_data"))
     rules += [(falsy("context_supported"), "outside_training_conditions"), (falsy("data_quality_ok"), "insufficient_data")]
     rules.append((i.isNotNull() & t.isNotNull() & (i >= t), "threshold_exceeded"))
-    if threshold is None or lo is None and hi is None:
-        rules.append((known, "uncalibrated"))
+    rules.append((known & (t.isNull() | low.isNull() & high.isNull()), "uncalibrated"))
     rules += [
         (quiet & (i >= policy.elevated), "elevated_no_trend"),
         (quiet & (i < policy.elevated), "no_worsening_trend"),
@@ -114,14 +116,14 @@ def predict(daily: DataFrame, index: str, slope: str, threshold: float | None, l
     state = F.lit("insufficient_history")
     for test, name in reversed(rules):
         state = F.when(test, name).otherwise(state)
-    shifted = lambda d: F.greatest(F.lit(0.0), F.col("__p") + F.lit(d).cast("double")) if d is not None else F.lit(None).cast("double")
+    shifted = lambda d: F.when(d.isNotNull(), F.greatest(F.lit(0.0), F.col("__p") + d))
     st = F.col("prediction_state")
     return (
         daily.withColumn("prediction_state", state)
         .withColumn("__p", point)
         .withColumn("rul_point", F.when(st.isin("valid", "threshold_exceeded", "outside_horizon"), F.col("__p")))
-        .withColumn("rul_lower", F.when(st == "valid", shifted(lo)).when(st == "threshold_exceeded", 0.0))
-        .withColumn("rul_upper", F.when(st == "valid", shifted(hi)))
+        .withColumn("rul_lower", F.when(st == "valid", shifted(low)).when(st == "threshold_exceeded", 0.0))
+        .withColumn("rul_upper", F.when(st == "valid", shifted(high)))
         .drop("__p")
     )
 

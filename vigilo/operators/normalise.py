@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilo.operators.ranks import column_quantiles
+
 MAD_TO_SIGMA = 1.4826
 CYCLIC = {"hour_of_day": 24.0}
 
@@ -67,11 +69,12 @@ class ConditionNormaliser:
     def fit(self, df: DataFrame) -> ConditionNormaliser:
         if not self.contexts:
             raise ValueError("context columns are required")
-        got = df.agg(*(F.struct(F.percentile(c, F.lit(0.5)).alias("m"), F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in self.contexts)).first()
+        ends = column_quantiles(df, self.contexts, [0.0, 0.5, 1.0])
         for c in self.contexts:
-            if got[c]["m"] is None:
+            low, middle, high = ends[c]
+            if middle is None:
                 raise ValueError(f"no observations for context {c}")
-            self.fills[c], self.ranges[c] = float(got[c]["m"]), (float(got[c]["a"]), float(got[c]["b"]))
+            self.fills[c], self.ranges[c] = float(middle), (float(low), float(high))
         named = self.design()
         self.terms = [n for n, _ in named]
         rows = df.select(*(x.alias(f"x{i}") for i, (_, x) in enumerate(named)), F.col(self.signal).cast("double").alias("y"))
@@ -87,7 +90,7 @@ class ConditionNormaliser:
         if self.robust and stats["n"] > 100:
             fitted = total([(F.col(f"x{i}") - float(mean[i])) / float(scale[i]) * float(beta[i]) for i in range(p)]) + b0
             off = seen.withColumn("off", F.abs(F.col("y") - fitted))
-            cut = off.agg(F.percentile("off", F.lit(1 - self.trim))).first()[0]
+            cut = column_quantiles(off, ["off"], [1 - self.trim])["off"][0]
             beta, b0 = self._solve(off.where(F.col("off") <= cut), mean, scale)
         # Back on the raw terms, so that scoring needs no standardisation.
         self.coefficients = [float(b / s) for b, s in zip(beta, scale, strict=True)]
