@@ -277,6 +277,65 @@ def coverage_summary(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("episode_rows", "scored_rows", r("abstention_rate").alias("abstention_rate"), "evaluated_groups", r("macro_lower_coverage").alias("macro_lower_coverage"), r("point_mae_days", 4).alias("point_mae_days"))
 
 
+# ---- group holdout -----------------------------------------------------------------------------------------------
+
+_PAIRS = _LAST + """, g AS (SELECT DISTINCT train_id FROM eps), pr AS (SELECT a.train_id AS fold, b.train_id AS other FROM g a, g b),
+ th AS (SELECT fold, other, quantile_cont(last_value, 0.5) AS threshold FROM pr LEFT JOIN last ON train_id <> fold AND train_id <> other GROUP BY 1, 2)"""
+_HAT = "CASE WHEN i0 >= threshold THEN 0.0 WHEN s > 0.25 THEN least(greatest({}, 0), 90) END"
+_FORMS = {"loglinear": "CASE WHEN i0 >= 1 THEN ln(threshold / i0) / (s / i0) ELSE (threshold - i0) / s END", "linear": "(threshold - i0) / s"}
+_FOLDED = _PAIRS + "".join(
+    f""", cal_{form} AS (SELECT fold, rul - hat AS score FROM (SELECT fold, (epoch_us(fault_ts) - epoch_us(available_at)) / 86400e6 AS rul, {_HAT.format(expr)} AS hat
+ FROM (SELECT t.available_at, x_smooth AS i0, x_slope AS s, e.fault_ts, fold, threshold FROM t JOIN eps e ON t.asset_id = e.asset_id AND t.available_at >= e.onset_ts AND t.available_at < e.fault_ts JOIN th ON th.other = e.train_id AND fold <> other AND threshold IS NOT NULL)) WHERE hat IS NOT NULL),
+ rk_{form} AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score) AS r, count(*) OVER (PARTITION BY fold) AS n FROM cal_{form}),
+ bd_{form} AS (SELECT fold, max(CASE WHEN r = floor((n + 1) * 0.1) THEN score END) AS lo, max(CASE WHEN r = ceil((n + 1) * 0.9 - 1e-12) THEN score END) AS hi FROM rk_{form} GROUP BY 1),
+ of_{form} AS (SELECT *, CASE prediction_state WHEN 'valid' THEN greatest(0.0, coalesce(point + lo, 0.0)) WHEN 'threshold_exceeded' THEN 0.0 END AS rul_lower, CASE WHEN prediction_state IN ('valid', 'threshold_exceeded', 'outside_horizon') THEN point END AS rul_point FROM (
+ SELECT *, CASE WHEN NOT context_supported THEN 'outside_training_conditions' WHEN NOT data_quality_ok THEN 'insufficient_data' WHEN i0 >= threshold THEN 'threshold_exceeded' WHEN i0 IS NULL OR s IS NULL THEN 'insufficient_history'
+ WHEN threshold IS NULL OR n IS NULL THEN 'uncalibrated' WHEN s <= 0.25 AND i0 >= 100 THEN 'elevated_no_trend' WHEN s <= 0.25 THEN 'no_worsening_trend' WHEN point >= 90 THEN 'outside_horizon' ELSE 'valid' END AS prediction_state
+ FROM (SELECT *, {_HAT.format(expr)} AS point FROM (SELECT t.*, x_smooth AS i0, x_slope AS s, threshold, lo, hi, n FROM t JOIN th ON th.fold = t.train_id AND th.fold = th.other LEFT JOIN bd_{form} b ON b.fold = th.fold LEFT JOIN (SELECT fold, count(*) AS n FROM cal_{form} GROUP BY 1) c ON c.fold = th.fold))))"""
+    for form, expr in _FORMS.items()
+)
+
+
+def _arm(form: str):
+    from vigilo.plans.health import LifeModel
+
+    return LifeModel(policy=L.LifePolicy(elevated=100.0, form=form), index="x_smooth", slope="x_slope", difficulty="x_vol")
+
+
+@query(_PAIRS + " SELECT fold, other, round(threshold, 6) AS threshold FROM th")
+def fold_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """Medians of the episodes' last values without one and without two groups."""
+    from vigilo.plans.holdout import fold_thresholds
+
+    last = V.episodes(spark).select("train_id").distinct().join(_last(spark, sf).select("train_id", "last_value"), "train_id", "left")
+    return fold_thresholds(last).select("fold", "other", r("threshold").alias("threshold"))
+
+
+@query(_FOLDED + " SELECT asset_id, day, prediction_state, round(rul_point, 4) AS rul_point, round(rul_lower, 4) AS rul_lower FROM of_loglinear")
+def out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Each train's days by thresholds and bounds that never saw the train."""
+    out = _arm("loglinear").out_of_fold(trend(spark, sf), V.episodes(spark))
+    return out.select("asset_id", "day", "prediction_state", r("rul_point", 4).alias("rul_point"), r("rul_lower", 4).alias("rul_lower"))
+
+
+@query(
+    _FOLDED
+    + ", "
+    + ", ".join(f"tr_{f} AS (SELECT '{f}' AS arm, p.train_id, rul_lower, rul_point, (epoch_us(fault_ts) - epoch_us(available_at)) / 86400e6 AS true_rul FROM of_{f} p JOIN eps e ON p.asset_id = e.asset_id AND available_at >= onset_ts AND available_at < fault_ts)" for f in _FORMS)
+    + """, tr AS (SELECT * FROM tr_loglinear UNION ALL SELECT * FROM tr_linear), gr AS (SELECT arm, train_id, count(*) AS rows, count(rul_lower) AS scored, avg(CASE WHEN rul_lower IS NOT NULL THEN (rul_lower <= true_rul)::INT END) AS cov,
+ sum(CASE WHEN rul_lower IS NOT NULL THEN abs(rul_point - true_rul) END) AS err, count(*) FILTER (WHERE rul_lower > 0 AND rul_lower <= true_rul) AS useful, count(*) FILTER (WHERE rul_lower > true_rul) AS over, coalesce(sum(CASE WHEN rul_lower > true_rul THEN rul_lower - true_rul END), 0) AS excess FROM tr GROUP BY 1, 2)
+ SELECT arm, CAST(sum(rows) AS BIGINT) AS episode_rows, CAST(sum(scored) AS BIGINT) AS scored_rows, count(cov) AS evaluated_groups, round(avg(cov), 6) AS macro_lower_coverage, round(sum(err) / sum(scored), 4) AS point_mae_days,
+ round(sum(useful) / sum(rows), 6) AS positive_and_covered, round(sum(over) / sum(rows), 6) AS overstated, round(CASE WHEN sum(over) > 0 THEN sum(excess) / sum(over) ELSE 0 END, 4) AS mean_overstatement_days FROM gr GROUP BY 1"""
+)
+def validation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Two projections, each held out by train, side by side."""
+    from vigilo.plans.holdout import validation_summary
+
+    s = validation_summary(trend(spark, sf), V.episodes(spark), {f: _arm(f) for f in _FORMS})
+    kept = ["arm", "episode_rows", "scored_rows", "evaluated_groups"]
+    return s.select(*kept, *(r(c, d).alias(c) for c, d in (("macro_lower_coverage", 6), ("point_mae_days", 4), ("positive_and_covered", 6), ("overstated", 6), ("mean_overstatement_days", 4))))
+
+
 # ---- decisions ---------------------------------------------------------------------------------------------------
 
 _RAW = "CASE WHEN {m} IS NULL THEN -1 WHEN {m} < 1 THEN 3 WHEN {m} < 3 THEN 2 WHEN {m} < 21 THEN 1 ELSE 0 END"
