@@ -279,3 +279,34 @@ def test_packing_goes_on_while_bins_fall(spark):
     assert apart <= whole * 1.005 + 1
     alike = spark.createDataFrame([(i, 0, 0, 1100, 0) for i in range(600)], df.schema)
     assert packing.pack(alike, group_pieces=100).select("sequence_id").distinct().count() == 600
+
+
+def test_near_dedup_finds_the_links_of_random_trees(spark):
+    """Families whose texts are each made from a random earlier one by three edits; brute force over all pairs says which stay."""
+    from vigilo.llm import nearcopies
+
+    rng = random.Random(12)
+    rows = []
+    for family in range(4):
+        made = [[f"w{rng.randrange(10**6)}" for _ in range(200)]]
+        for _ in range(149):
+            t = list(rng.choice(made))
+            for _ in range(3):
+                t[rng.randrange(200)] = f"w{rng.randrange(10**6)}"
+            made.append(t)
+        rows += [(family * 1000 + k, " ".join(t)) for k, t in enumerate(made)]
+    sets = {i: set(nearcopies.shingles(t).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if a // 1000 == b // 1000 and find(a) != find(b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    kept = nearcopies.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in ids})
