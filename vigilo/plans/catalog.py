@@ -908,6 +908,63 @@ def repair_verification(spark: SparkSession, sf: str) -> DataFrame:
     return M.verify_repairs(jobs, ref, d.withColumn("context_supported", F.lit(True)), ["charge"], ntz("2024-01-27 06:00:00"), limit=1.0)
 
 
+_WORK_SQL = """work AS (SELECT o_orderkey AS job_id, 'A' || CASE WHEN o_custkey < 10 THEN '0' ELSE '' END || CAST(o_custkey AS VARCHAR) AS asset_id, TIMESTAMP '2024-01-08 00:00:00' + to_hours(CAST(o_orderkey % 600 AS BIGINT)) AS started_at FROM orders),
+ jb AS (SELECT job_id, asset_id, started_at, started_at + to_hours(CAST(1 + job_id % 5 AS BIGINT)) AS completed_at, started_at + to_hours(CAST(1 + job_id % 5 + job_id % 3 AS BIGINT)) AS recorded_at,
+ CAST(CAST(started_at AS DATE) + 6 AS TIMESTAMP) + INTERVAL 6 HOUR AS as_of, started_at - to_hours(CAST(job_id % 40 AS BIGINT)) + INTERVAL 1 HOUR AS reviewed_at FROM work)"""
+
+
+def _work(spark: SparkSession, sf: str) -> DataFrame:
+    """A maintenance job for each order: the customer's asset, hours by the order's number."""
+    hours = lambda start, n: F.timestamp_add("HOUR", n.cast("int"), start)
+    o = V.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    asset = F.concat(F.lit("A"), F.when(F.col("o_custkey") < 10, "0").otherwise(""), F.col("o_custkey").cast("string"))
+    w = o.select(k.alias("job_id"), asset.alias("asset_id"), hours(ntz("2024-01-08 00:00:00"), k % 600).alias("started_at"))
+    j, at = F.col("job_id"), F.col("started_at")
+    as_of = hours(F.date_add(at.cast("date"), 6).cast("timestamp_ntz"), F.lit(6))
+    return w.select("job_id", "asset_id", "started_at", hours(at, 1 + j % 5).alias("completed_at"), hours(at, 1 + j % 5 + j % 3).alias("recorded_at"), as_of.alias("as_of"), hours(at, 1 - j % 40).alias("reviewed_at"))
+
+
+_REFERENCE = f"""WITH {V.DAILY}, {_WORK_SQL}, us AS (SELECT *, data_quality_ok AND peak IS NOT NULL AND charge IS NOT NULL AND ambient_mean IS NOT NULL AS u FROM daily),
+ k AS (SELECT asset_id, day, day - CAST(row_number() OVER (PARTITION BY asset_id ORDER BY day) AS INTEGER) AS g FROM us WHERE u), ru AS (SELECT asset_id, min(day) AS s, max(day) AS e FROM k GROUP BY asset_id, g),
+ wi AS (SELECT job_id, jb.asset_id, max(least(e, CAST(started_at AS DATE) - 1)) AS last FROM jb JOIN ru ON jb.asset_id = ru.asset_id AND s <= CAST(started_at AS DATE) - 1 AND least(e, CAST(started_at AS DATE) - 1) - s + 1 >= 4 GROUP BY 1, 2),
+ hd AS (SELECT job_id, last, us.* FROM wi JOIN us ON us.asset_id = wi.asset_id AND us.day > last - 4 AND us.day <= last),
+ md AS (SELECT job_id, last, max(available_at) AS ended_at, min(ambient_mean) AS lo, max(ambient_mean) AS hi, quantile_cont(charge, 0.5) AS cl, quantile_cont(peak, 0.5) AS pl FROM hd GROUP BY 1, 2),
+ rf AS (SELECT job_id, any_value(md.last) AS last, any_value(ended_at) AS ended_at, any_value(lo) AS lo, any_value(hi) AS hi, any_value(cl) AS cl, any_value(pl) AS pl, 1.4826 * quantile_cont(abs(charge - cl), 0.5) AS cs, 1.4826 * quantile_cont(abs(peak - pl), 0.5) AS ps FROM md JOIN hd USING (job_id) GROUP BY 1)"""
+
+
+@query(_REFERENCE + " SELECT job_id, jb.asset_id, last - 3 AS first, last, round(cl, 6) AS charge_loc, round(cs, 6) AS charge_scale, round(pl, 6) AS peak_loc, round(ps, 6) AS peak_scale, round(lo, 6) AS ambient_lo, round(hi, 6) AS ambient_hi FROM rf JOIN jb USING (job_id)")
+def repair_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest four consecutive usable days before each order's job, as its healthy reference."""
+    from vigilo.operators import repair
+
+    d = V.daily(spark, sf).withColumn("context_supported", F.lit(True))
+    got = repair.references(_work(spark, sf), d, ["charge", "peak"], ["ambient_mean"], 4)
+    ch = lambda c, x: r(F.col("channels")[c][x]).alias(f"{c}_{x}")
+    cx = F.col("contexts")["ambient_mean"]
+    return got.select("job_id", "asset_id", "first", "last", ch("charge", "loc"), ch("charge", "scale"), ch("peak", "loc"), ch("peak", "scale"), r(cx["lo"]).alias("ambient_lo"), r(cx["hi"]).alias("ambient_hi"))
+
+
+@query(
+    _REFERENCE
+    + """, lw AS (SELECT a.job_id, min(b.started_at) AS later_at FROM jb a JOIN jb b ON a.asset_id = b.asset_id AND a.job_id <> b.job_id AND b.started_at >= a.started_at AND b.recorded_at <= a.as_of GROUP BY 1),
+ ps AS (SELECT jb.job_id, count(*) AS n, bool_and(u) AS ok, bool_and(coalesce(ambient_mean BETWEEN lo AND hi, false)) AS inside, sum(CASE WHEN abs(charge - cl) / cs > 3 THEN 1 ELSE 0 END) AS kc, sum(CASE WHEN abs(peak - pl) / ps > 3 THEN 1 ELSE 0 END) AS kp
+ FROM jb JOIN us ON us.asset_id = jb.asset_id AND us.day >= CAST(as_of AS DATE) - 3 AND us.day < CAST(as_of AS DATE) AND us.available_at <= as_of LEFT JOIN rf USING (job_id) GROUP BY 1),
+ q AS (SELECT jb.*, rf.last, coalesce(n, 0) AS n, greatest(kc, kp) AS k, CASE WHEN recorded_at > as_of THEN 'not_recorded' WHEN rf.last IS NULL THEN 'no_reference' WHEN coalesce(cs <= 1e-9, true) OR coalesce(rf.ps <= 1e-9, true) THEN 'flat_reference' WHEN greatest(ended_at, reviewed_at) > started_at THEN 'reviewed_too_late'
+ WHEN later_at <= as_of THEN 'later_work' WHEN CAST(as_of AS DATE) - 3 < CAST(CASE WHEN date_trunc('day', completed_at) = completed_at THEN completed_at ELSE date_trunc('day', completed_at) + INTERVAL 1 DAY END AS DATE) + 1 THEN 'waiting'
+ WHEN coalesce(n, 0) <> 3 OR NOT coalesce(ok, false) THEN 'incomplete_window' WHEN NOT inside THEN 'outside_context' WHEN greatest(kc, kp) >= 2 THEN 'repeated_departures' WHEN greatest(kc, kp) = 0 THEN 'within_limits' ELSE 'mixed_readings' END AS reason
+ FROM jb LEFT JOIN rf USING (job_id) LEFT JOIN lw USING (job_id) LEFT JOIN ps USING (job_id))
+ SELECT job_id, asset_id, last - 3 AS reference_first, last AS reference_last, n AS observed_days, CAST(CASE WHEN reason IN ('repeated_departures', 'within_limits', 'mixed_readings') THEN k END AS BIGINT) AS abnormal_days,
+ CASE reason WHEN 'repeated_departures' THEN 'abnormality_persists' WHEN 'within_limits' THEN 'signal_recovered' ELSE 'insufficient_evidence' END AS status, reason FROM q"""
+)
+def repair_assessment(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's job held against its own reference; later work on the asset voids it."""
+    from vigilo.operators import repair
+
+    d = V.daily(spark, sf).withColumn("context_supported", F.lit(True))
+    return repair.assess_repairs(_work(spark, sf), d, ["charge", "peak"], ["ambient_mean"], repair.RepairPolicy(reference_days=4))
+
+
 _JOBS = [
     (1, "A01", "2024-01-10", 0, "planned", "2024-01-12", 2, None),
     (1, "A01", "2024-01-12", 0, "work_done", None, None, None),
