@@ -111,7 +111,7 @@ def assess_repairs(jobs: DataFrame, daily: DataFrame, channels: list[str], conte
     within = F.lit(True)
     for c in contexts:
         within = within & (F.col(c) >= F.col("contexts")[c]["lo"]) & (F.col(c) <= F.col("contexts")[c]["hi"])
-    far = lambda c: F.abs(F.col(c) - F.col("channels")[c]["loc"]) / F.col("channels")[c]["scale"] > p.deviation_limit
+    far = lambda c: F.try_divide(F.abs(F.col(c) - F.col("channels")[c]["loc"]), F.col("channels")[c]["scale"]) > p.deviation_limit
     seen = post.groupBy("job_id").agg(
         F.count("*").alias("observed_days"), F.bool_and(usable([*channels, *contexts])).alias("ok"), F.bool_and(F.coalesce(within, F.lit(False))).alias("within"), F.greatest(*(F.count_if(far(c)) for c in channels), F.lit(0)).alias("k")
     )

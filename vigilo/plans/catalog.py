@@ -908,6 +908,56 @@ def repair_verification(spark: SparkSession, sf: str) -> DataFrame:
     return M.verify_repairs(jobs, ref, d.withColumn("context_supported", F.lit(True)), ["charge"], ntz("2024-01-27 06:00:00"), limit=1.0)
 
 
+# ---- inspection: masks and two views -----------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {V.DAILY}, ch AS (SELECT asset_id, day, 'charge' AS channel, charge AS x, charge_completeness AS comp, d.* EXCLUDE (asset_id, day) FROM daily d UNION ALL SELECT asset_id, day, 'peak', peak, peak_completeness, d.* EXCLUDE (asset_id, day) FROM daily d),
+ q AS (SELECT asset_id, day, channel, x, CASE WHEN NOT context_supported THEN 'context' WHEN data_quality_ok <> (quality_ready AND least(charge_completeness, peak_completeness) >= 0.9) THEN 'inconsistent_quality' WHEN NOT quality_ready THEN 'not_ready' WHEN comp < 0.9 THEN 'incomplete' WHEN x IS NULL THEN 'no_value' END AS refused FROM ch)
+ SELECT asset_id, day, channel, refused IS NULL AS usable, round(CASE WHEN refused IS NULL THEN x END, 6) AS value, refused FROM q"""
+)
+def quality_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """Each channel by its own completeness, so that one degraded channel does not void the day."""
+    from vigilo.operators.admission import quality_mask
+
+    return quality_mask(V.daily(spark, sf), ["charge", "peak"]).withColumn("value", r("value"))
+
+
+@query(f"WITH {V.DAILY} SELECT asset_id, CASE WHEN count(*) FILTER (WHERE context_supported) >= 3 THEN round(quantile_cont(ambient_mean, 0.5) FILTER (WHERE context_supported), 6) END AS ambient_mean, CASE WHEN count(*) FILTER (WHERE context_supported) >= 3 THEN round(quantile_cont(load_proxy_mean, 0.5) FILTER (WHERE context_supported), 6) END AS load_proxy_mean FROM daily GROUP BY 1")
+def context_medians(spark: SparkSession, sf: str) -> DataFrame:
+    from vigilo.operators.admission import context_medians
+
+    return context_medians(V.daily(spark, sf), ["ambient_mean", "load_proxy_mean"]).select("asset_id", r("ambient_mean").alias("ambient_mean"), r("load_proxy_mean").alias("load_proxy_mean"))
+
+
+def _views(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Charge on the asset's and on the fleet's baseline; some assets with flaws, so that admission has to refuse them."""
+    d, b = _baseline(spark, sf)
+    own = b.select("asset_id", "loc", "scale", F.col("fleet_loc").alias("fl"), F.col("fleet_scale").alias("fs"))
+    rows = d.join(own, "asset_id").withColumn("context_supported", F.lit(True)).withColumn("res_charge", F.col("charge")).withColumn("preprocessing_fitted_at", ntz("2024-01-01 00:00:00"))
+    a = rows.withColumn("charge_hx", (F.col("charge") - F.col("loc")) / F.col("scale"))
+    a = a.withColumn("model_version", F.when((F.col("asset_id") == "A05") & (F.col("day") >= "2024-01-15"), "m2").otherwise("m1"))
+    f = rows.withColumn("charge_hx", (F.col("charge") - F.col("fl")) / F.col("fs")).withColumn("model_version", F.lit("m1"))
+    f = f.withColumn("preprocessing_fitted_at", F.when(F.col("asset_id") == "A06", ntz("2024-01-02 00:00:00")).otherwise(F.col("preprocessing_fitted_at")))
+    return a, f.withColumn("res_charge", F.when(F.col("asset_id") == "A07", F.col("charge") + 1).otherwise(F.col("charge")))
+
+
+@query(
+    _BASE
+    + """, n AS (SELECT d.asset_id, count(*) FILTER (WHERE quality_ready AND charge_completeness >= 0.9 AND charge IS NOT NULL) AS admitted, count(*) AS matched_days, count(DISTINCT day >= DATE '2024-01-15') AS halves FROM daily d JOIN b USING (asset_id) GROUP BY 1),
+ p AS (SELECT n.*, b.loc, b.scale, fl, fs, list_filter([CASE WHEN asset_id = 'A05' AND halves = 2 THEN 'asset_reference:model_version_not_constant' END, CASE WHEN asset_id = 'A05' AND halves = 2 THEN 'asset_reference:no_identity' END, CASE WHEN asset_id = 'A06' THEN 'different_fit_times' END, CASE WHEN matched_days < 5 THEN 'few_shared_days' END], lambda x: x IS NOT NULL) AS problems,
+ list_filter([CASE WHEN admitted < 5 THEN 'few_matched_days' END, CASE WHEN asset_id = 'A07' AND admitted > 0 THEN 'residuals_differ' END], lambda x: x IS NOT NULL) AS algebra FROM n JOIN b USING (asset_id), fl)
+ SELECT asset_id, CASE WHEN len(algebra) = 0 AND len(problems) = 0 THEN 'recovered' WHEN len(algebra) = 0 AND matched_days >= 5 THEN 'demonstration' ELSE 'unavailable' END AS status, array_to_string(list_concat(problems, algebra), ',') AS reasons, matched_days, admitted,
+ CASE WHEN len(algebra) = 0 THEN round(loc - fl, 4) END AS location_offset, CASE WHEN len(algebra) = 0 THEN round(scale / fs, 4) END AS scale_ratio, CASE WHEN len(algebra) = 0 THEN abs(scale / fs - 1) > 0.05 END AS scale_changed FROM p"""
+)
+def view_admission(spark: SparkSession, sf: str) -> DataFrame:
+    """Two views of every asset: identity over all rows, matched supported days, both baselines recovered from the indices."""
+    from vigilo.operators.admission import compare_references
+
+    got = compare_references(*_views(spark, sf), ["charge"])
+    return got.select("asset_id", "status", F.array_join("reasons", ",").alias("reasons"), "matched_days", "admitted", r("location_offset", 4).alias("location_offset"), r("scale_ratio", 4).alias("scale_ratio"), "scale_changed")
+
+
 _WORK_SQL = """work AS (SELECT o_orderkey AS job_id, 'A' || CASE WHEN o_custkey < 10 THEN '0' ELSE '' END || CAST(o_custkey AS VARCHAR) AS asset_id, TIMESTAMP '2024-01-08 00:00:00' + to_hours(CAST(o_orderkey % 600 AS BIGINT)) AS started_at FROM orders),
  jb AS (SELECT job_id, asset_id, started_at, started_at + to_hours(CAST(1 + job_id % 5 AS BIGINT)) AS completed_at, started_at + to_hours(CAST(1 + job_id % 5 + job_id % 3 AS BIGINT)) AS recorded_at,
  CAST(CAST(started_at AS DATE) + 6 AS TIMESTAMP) + INTERVAL 6 HOUR AS as_of, started_at - to_hours(CAST(job_id % 40 AS BIGINT)) + INTERVAL 1 HOUR AS reviewed_at FROM work)"""
