@@ -170,7 +170,7 @@ def test_assessments_equal_the_plain_rule(spark):
                 continue
             day = D0 + dt.timedelta(days=d)
             drift = 6 if a % 3 == 0 and d > 22 else 0
-            days.append((f"A{a}", day, dt.datetime.combine(day, dt.time()) + dt.timedelta(days=1), rng.random() > 0.04, True, None if rng.random() < 0.02 else round(rng.random() * (0 if a == 7 else 1) + drift, 3), round(rng.random(), 3), float(rng.choice([1, 1, 1, 2] if a % 2 else [1]))))
+            days.append((f"A{a}", day, dt.datetime.combine(day, dt.time()) + dt.timedelta(days=1), rng.random() > 0.04, True, None if rng.random() < 0.02 else rng.choice([0.0, 1.0, 2.0, 3.0]) * (a != 7) + drift, rng.choice([0.0, 1.0, 2.0, 3.0]), float(rng.choice([1, 1, 1, 2] if a % 2 else [1]))))
         for _ in range(10):
             start = T0 + dt.timedelta(hours=rng.randrange(4 * 24, 30 * 24))
             done = start + dt.timedelta(hours=rng.choice([1, 24 - start.hour, 30]))

@@ -948,14 +948,14 @@ def _views(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
  p AS (SELECT n.*, b.loc, b.scale, fl, fs, list_filter([CASE WHEN asset_id = 'A05' AND halves = 2 THEN 'asset_reference:model_version_not_constant' END, CASE WHEN asset_id = 'A05' AND halves = 2 THEN 'asset_reference:no_identity' END, CASE WHEN asset_id = 'A06' THEN 'different_fit_times' END, CASE WHEN matched_days < 5 THEN 'few_shared_days' END], lambda x: x IS NOT NULL) AS problems,
  list_filter([CASE WHEN admitted < 5 THEN 'few_matched_days' END, CASE WHEN asset_id = 'A07' AND admitted > 0 THEN 'residuals_differ' END], lambda x: x IS NOT NULL) AS algebra FROM n JOIN b USING (asset_id), fl)
  SELECT asset_id, CASE WHEN len(algebra) = 0 AND len(problems) = 0 THEN 'recovered' WHEN len(algebra) = 0 AND matched_days >= 5 THEN 'demonstration' ELSE 'unavailable' END AS status, array_to_string(list_concat(problems, algebra), ',') AS reasons, matched_days, admitted,
- CASE WHEN len(algebra) = 0 THEN round(loc - fl, 4) END AS location_offset, CASE WHEN len(algebra) = 0 THEN round(scale / fs, 4) END AS scale_ratio, CASE WHEN len(algebra) = 0 THEN abs(scale / fs - 1) > 0.05 END AS scale_changed FROM p"""
+ CASE WHEN len(algebra) = 0 THEN round(loc - fl, 2) END AS location_offset, CASE WHEN len(algebra) = 0 THEN round(scale / fs, 4) END AS scale_ratio, CASE WHEN len(algebra) = 0 THEN abs(scale / fs - 1) > 0.05 END AS scale_changed FROM p"""
 )
 def view_admission(spark: SparkSession, sf: str) -> DataFrame:
     """Two views of every asset: identity over all rows, matched supported days, both baselines recovered from the indices."""
     from vigilo.operators.admission import compare_references
 
     got = compare_references(*_views(spark, sf), ["charge"])
-    return got.select("asset_id", "status", F.array_join("reasons", ",").alias("reasons"), "matched_days", "admitted", r("location_offset", 4).alias("location_offset"), r("scale_ratio", 4).alias("scale_ratio"), "scale_changed")
+    return got.select("asset_id", "status", F.array_join("reasons", ",").alias("reasons"), "matched_days", "admitted", r("location_offset", 2).alias("location_offset"), r("scale_ratio", 4).alias("scale_ratio"), "scale_changed")
 
 
 _WORK_SQL = """work AS (SELECT o_orderkey AS job_id, 'A' || CASE WHEN o_custkey < 10 THEN '0' ELSE '' END || CAST(o_custkey AS VARCHAR) AS asset_id, TIMESTAMP '2024-01-08 00:00:00' + to_hours(CAST(o_orderkey % 600 AS BIGINT)) AS started_at FROM orders),
