@@ -186,3 +186,80 @@ def test_assessments_equal_the_plain_rule(spark):
     with pytest.raises(ValueError):
         repair.references(jb, df, ["v"], ["v"], 4)
     assert math.isclose(repair.references(jb, df, ["v"], [], 4).first().channels["v"].scale, repair.references(jb, df, ["v"], [], 4).first().channels["v"].scale)
+
+
+# ---- reconciliation and the shared store
+
+
+def test_reconcile_gives_every_violation(spark):
+    from vigilo.operators import reconcile as R
+
+    df = lambda rows, kind="k string, why string": spark.createDataFrame(rows, kind)
+    expected = df([("a",), ("b",), ("c",), ("d",), ("d",), (None,)], "k string")
+    assessed = df([("a",), ("c",), ("c",), ("x",)], "k string")
+    unavailable = df([("b", "sensor"), ("c", "sensor"), ("y", " ")])
+    kinds = [t.withColumn("why", F.lit(None).cast("string")) if "why" not in t.columns else t for t in (expected, assessed, unavailable)]
+    got = {tuple(r) for r in R.reconcile(*kinds, ["k"], "why").collect()}
+    assert got == {("d", "missing"), ("d", "repeated_expected"), (None, "missing"), ("c", "both"), ("c", "repeated_assessed"), ("x", "unexpected"), ("y", "unexpected"), ("y", "no_reason")}
+    assert R.reconcile(*(k.limit(0) for k in kinds), ["k"]).count() == 0
+    report = {r.invariant: (r.violations, r.holds) for r in R.invariants({"one": expected.where("k = 'a'"), "none": assessed.limit(0)}).collect()}
+    assert report == {"one": (1, False), "none": (0, True)}
+
+
+def test_first_match(spark):
+    from vigilo.operators import reconcile as R
+
+    rows = [("e1", 2, 0, True, "late"), ("e1", 1, 5, True, "yes"), ("e1", 1, 3, False, "no"), ("e2", 0, 0, False, "no"), ("e3", 9, 9, None, "?")]
+    got = R.first_match(spark.createDataFrame(rows, "episode string, a int, b int, ok boolean, what string"), "episode", ["a", "b"], "ok").collect()
+    assert [tuple(r) for r in got] == [("e1", 1, 5, "yes")]
+
+
+def _record(spark, *ids):
+    t = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(i, "A", t, t, t, "o", "f", "w") for i in ids], "job_id string, asset_id string, started_at timestamp_ntz, completed_at timestamp_ntz, recorded_at timestamp_ntz, operator string, finding string, work_performed string")
+
+
+def test_of_two_writers_of_one_key_one_fails(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from vigilo.sources import io
+
+    root = str(tmp_path / "store")
+
+    def write(k):
+        try:
+            return io.RepairStore(spark, root).record(_record(spark, "same" if k < 3 else f"own{k}"))
+        except ValueError:
+            return "refused"
+
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(write, range(6)))
+    assert sorted(map(str, got[:3])) == ["1", "refused", "refused"] and got[3:] == [1, 1, 1]
+    store = io.RepairStore(spark, root)
+    assert sorted(r.job_id for r in store.read("records").collect()) == ["own3", "own4", "own5", "same"] and store.head() == 4
+    assert store.read("records", 2).count() == 2 and store.read("records", 0).count() == 0
+    assert store.append("records", _record(spark, "same", "more"), ignore=True) == 1
+
+
+def test_assess_is_one_commit_and_readers_check(spark, tmp_path):
+    from vigilo.sources import io
+
+    store, other = io.RepairStore(spark, str(tmp_path / "a")), io.RepairStore(spark, str(tmp_path / "b"))
+    store.record(_record(spark, "j1", "j2"))
+    other.record(_record(spark, "j2", "j3"))
+    assert [r.job_id for r in store.collisions(other).collect()] == ["j2"]
+    bad = spark.createDataFrame([("j1", "A", T0, "abnormality_persists", "{}")], io.RepairStore.TABLES["assessments"][0])
+    before = store.head()
+    assert store.assess(bad) == 1 and store.head() == before + 1 and store.read("followups").count() == 1
+    with pytest.raises(ValueError):
+        store.assess(bad)
+    assert store.head() == before + 1
+    reader = io.RepairStore(spark, str(tmp_path / "a"), readonly=True)
+    assert reader.read("assessments").count() == 1
+    with pytest.raises(PermissionError):
+        reader.record(_record(spark, "j9"))
+    part = store._parts(store.head())["records"][0]
+    spark.range(1).write.mode("overwrite").parquet(f"{store.root}/{part}")
+    with pytest.raises(ValueError, match="not a part"):
+        io.RepairStore(spark, str(tmp_path / "a"), readonly=True)
+    assert not io.put_if_absent(spark, f"{store.root}/_commits/{1:012d}.json", "x") and io.put_if_absent(spark, f"{store.root}/_commits/{99:012d}.json", "x")
