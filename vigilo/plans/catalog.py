@@ -878,15 +878,23 @@ def detector_tournament(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("name", r("threshold", 5).alias("threshold"), "alarms", "n_episodes", "detected", r("precision").alias("precision"))
 
 
+_POLICIES = """WITH res AS (SELECT 'm' || CAST(2 + p_size % 3 AS VARCHAR) || '_a' || CAST(4 + p_partkey % 3 AS VARCHAR) || '_g' || CAST(1 + (p_partkey // 3) % 3 AS VARCHAR) AS policy, 2 + p_size % 3 AS m, 4 + p_partkey % 3 AS age, 1 + (p_partkey // 3) % 3 AS gap, p_retailprice / 10000 AS availability, (p_size % 11)::DOUBLE AS unmatched FROM part)"""
+
+
 @query(
-    "WITH base AS (SELECT 0.5 AS a0, 3 AS u0), res(policy, m, age, gap, availability, unmatched) AS (VALUES ('p1', 3, 5, 3, 0.8, 2), ('p2', 2, 5, 3, 0.8, 3), ('p3', 2, 4, 3, 0.9, 5)) SELECT policy FROM res, base WHERE availability >= a0 AND unmatched <= u0 ORDER BY availability DESC, m DESC, age, gap LIMIT 1"
+    _POLICIES
+    + """, base AS (SELECT avg(availability) AS a0, avg(unmatched) AS u0 FROM res WHERE policy = 'm3_a4_g1'), me AS (SELECT policy, m, age, gap, avg(availability) AS availability, avg(unmatched) AS unmatched FROM res WHERE policy <> 'm3_a4_g1' GROUP BY 1, 2, 3, 4)
+ SELECT policy FROM me, base WHERE availability >= a0 - 0.002 AND unmatched <= u0 ORDER BY availability DESC, m DESC, age, gap LIMIT 1"""
 )
 def policy_pick(spark: SparkSession, sf: str) -> DataFrame:
+    """Policies and their results by the parts' numbers: size, key and price."""
     from vigilo.plans.experiments import pick_policy
 
-    rows = [("base", 3, 3, 1, 0.5, 3.0), ("p1", 3, 5, 3, 0.8, 2.0), ("p2", 2, 5, 3, 0.8, 3.0), ("p3", 2, 4, 3, 0.9, 5.0)]
-    df = spark.createDataFrame(rows, "policy string, min_observations int, max_age_days int, max_gap_days int, availability double, unmatched double")
-    return pick_policy(df, "base").select("policy")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    m, age, gap = 2 + size % 3, 4 + k % 3, 1 + F.floor(k / 3) % 3
+    name = F.concat(F.lit("m"), m.cast("string"), F.lit("_a"), age.cast("string"), F.lit("_g"), gap.cast("string"))
+    df = V.table(spark, sf, "part").select(name.alias("policy"), m.alias("min_observations"), age.alias("max_age_days"), gap.alias("max_gap_days"), (F.col("p_retailprice") / 10000).alias("availability"), (size % 11).cast("double").alias("unmatched"))
+    return pick_policy(df, "m3_a4_g1", -0.002).select("policy")
 
 
 _REPAIRS = [(1, "A01", "2024-01-17 02:30:00"), (2, "A04", "2024-01-21 04:00:00"), (3, "A07", "2024-01-27 23:00:00"), (4, "A10", "2024-01-20 00:00:00"), (5, "A12", "2024-01-12 03:00:00"), (6, "A15", "2024-01-14 03:00:00")]
@@ -1015,57 +1023,59 @@ def repair_assessment(spark: SparkSession, sf: str) -> DataFrame:
     return repair.assess_repairs(_work(spark, sf), d, ["charge", "peak"], ["ambient_mean"], repair.RepairPolicy(reference_days=4))
 
 
-_JOBS = [
-    (1, "A01", "2024-01-10", 0, "planned", "2024-01-12", 2, None),
-    (1, "A01", "2024-01-12", 0, "work_done", None, None, None),
-    (1, "A01", "2024-01-13", 0, "verified", None, None, None),
-    (2, "A04", "2024-01-11", 0, "planned", "2024-01-14", 1, None),
-    (2, "A04", "2024-01-12", 0, "duration", None, None, 95),
-    (2, "A04", "2024-01-14", 0, "rescheduled", "2024-01-18", None, None),
-    (3, "A07", "2024-01-12", 0, "planned", "2024-01-18", 3, None),
-    (3, "A07", "2024-01-13", 0, "removed", None, None, None),
-    (3, "A07", "2024-01-15", 0, "reopened", "2024-01-18", None, None),
-    (4, "A10", "2024-01-15", 0, "planned", "2024-01-18", 2, None),
-    (4, "A10", "2024-01-15", 1, "duration", None, None, 180),
-    (4, "A10", "2024-01-16", 0, "reordered", None, 0, None),
-    (5, "A13", "2024-01-22", 0, "planned", "2024-01-25", 1, None),
+#: What befalls a planned job, by its number: (divisor, rest, nights later, sequence, type, window in days, minutes).
+_FATE = [
+    (3, 0, 1, 0, "duration", None, True),
+    (4, 1, 2, 0, "rescheduled", 6, False),
+    (5, 2, 3, 0, "work_done", None, False),
+    (10, 2, 4, 0, "verified", None, False),
+    (7, 3, 2, 1, "removed", None, False),
+    (14, 3, 5, 0, "reopened", 8, False),
 ]
 
 
-def _jobs(spark: SparkSession) -> DataFrame:
-    e = spark.createDataFrame(_JOBS, "job_id int, asset_id string, night string, seq int, type string, window string, priority int, minutes int")
-    return e.withColumn("night", F.col("night").cast("date")).withColumn("window", F.col("window").cast("date"))
-
-
-def _sql(v) -> str:
-    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+def _jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Planner events of a job for each order: planned, and then what its number says."""
+    w = _work(spark, sf).select("job_id", "asset_id")
+    k, first = F.col("job_id"), F.date_add(F.lit("2024-01-08").cast("date"), (F.col("job_id") % 8).cast("int"))
+    event = lambda after, seq, kind, window, priority, minutes: F.struct(
+        F.date_add(first, after).alias("night"), F.lit(seq).alias("seq"), F.lit(kind).alias("type"), window.cast("date").alias("window"), priority.cast("int").alias("priority"), minutes.cast("int").alias("minutes")
+    )
+    none = F.lit(None)
+    planned = event(0, 0, "planned", F.date_add(first, (1 + k % 5).cast("int")), 1 + k % 4, none)
+    later = [F.when(k % d == rest, event(after, seq, kind, F.date_add(first, window) if window else none, none, 30 + (k % 10) * 25 if timed else none)) for d, rest, after, seq, kind, window, timed in _FATE]
+    return w.select("job_id", "asset_id", F.explode(F.array_compact(F.array(planned, *later))).alias("e")).select("job_id", "asset_id", "e.*")
 
 
 _JOBSQL = (
-    "WITH ev(job_id, asset_id, night, seq, type, window_, priority, minutes) AS (VALUES "
-    + ", ".join("(" + ", ".join(_sql(v) for v in row) + ")" for row in _JOBS)
-    + """), e AS (SELECT *, CAST(night AS DATE) AS nd, CAST(night AS DATE) || '#' || seq AS k FROM ev WHERE CAST(night AS DATE) <= DATE '2024-01-17'),
+    f"""WITH {_WORK_SQL}, kk AS (SELECT job_id, asset_id, DATE '2024-01-08' + CAST(job_id % 8 AS INTEGER) AS d FROM work),
+ ev AS (SELECT job_id, asset_id, d AS night, 0 AS seq, 'planned' AS type, d + CAST(1 + job_id % 5 AS INTEGER) AS window_, CAST(1 + job_id % 4 AS INTEGER) AS priority, CAST(NULL AS INTEGER) AS minutes FROM kk"""
+    + "".join(
+        f" UNION ALL SELECT job_id, asset_id, d + {after}, {seq}, '{kind}', {f'd + {window}' if window else 'NULL'}, NULL, {'CAST(30 + (job_id % 10) * 25 AS INTEGER)' if timed else 'NULL'} FROM kk WHERE job_id % {d} = {rest}"
+        for d, rest, after, seq, kind, window, timed in _FATE
+    )
+    + """), e AS (SELECT *, CAST(night AS VARCHAR) || '#' || seq AS k FROM ev WHERE night <= DATE '2024-01-17'),
  st AS (SELECT job_id, any_value(asset_id) AS asset_id, arg_max(CASE type WHEN 'work_done' THEN 'work_done' WHEN 'verified' THEN 'done' WHEN 'removed' THEN 'removed' ELSE 'planned' END, k) FILTER (WHERE type IN ('planned', 'rescheduled', 'reopened', 'work_done', 'verified', 'removed')) AS state,
  CAST(arg_max(window_, k) FILTER (WHERE type IN ('planned', 'rescheduled', 'reopened')) AS DATE) AS "window", CAST(arg_max(priority, k) FILTER (WHERE type IN ('planned', 'rescheduled', 'reordered') AND priority IS NOT NULL) AS INTEGER) AS priority,
  CAST(coalesce(arg_max(minutes, k) FILTER (WHERE type = 'duration' AND minutes IS NOT NULL), 60) AS INTEGER) AS minutes FROM e GROUP BY 1)"""
 )
 
 
-@query(_JOBSQL + ' SELECT CAST(job_id AS INTEGER) AS job_id, asset_id, state, "window", priority, minutes FROM st')
+@query(_JOBSQL + ' SELECT job_id, asset_id, state, "window", priority, minutes FROM st')
 def job_state_asof(spark: SparkSession, sf: str) -> DataFrame:
-    return M.job_states(_jobs(spark), F.lit("2024-01-17").cast("date"))
+    return M.job_states(_jobs(spark, sf), F.lit("2024-01-17").cast("date"))
 
 
-@query(_JOBSQL + ' SELECT CAST(job_id AS INTEGER) AS job_id, "window", CAST(sum(minutes) OVER q AS BIGINT) AS used_minutes, sum(minutes) OVER q > 240 AS rolls_over FROM st WHERE state IN (\'planned\', \'work_done\') WINDOW q AS (PARTITION BY "window" ORDER BY priority, job_id ROWS UNBOUNDED PRECEDING)')
+@query(_JOBSQL + ' SELECT job_id, "window", CAST(sum(minutes) OVER q AS BIGINT) AS used_minutes, sum(minutes) OVER q > 240 AS rolls_over FROM st WHERE state IN (\'planned\', \'work_done\') WINDOW q AS (PARTITION BY "window" ORDER BY priority, job_id ROWS UNBOUNDED PRECEDING)')
 def capacity_rollover(spark: SparkSession, sf: str) -> DataFrame:
-    jobs = M.job_states(_jobs(spark), F.lit("2024-01-17").cast("date")).where(F.col("state").isin("planned", "work_done"))
+    jobs = M.job_states(_jobs(spark, sf), F.lit("2024-01-17").cast("date")).where(F.col("state").isin("planned", "work_done"))
     return M.capacity(jobs, 240).select("job_id", "window", "used_minutes", "rolls_over")
 
 
-@query(_ASPECT + ", " + _JOBSQL.removeprefix("WITH ") + " SELECT asset_id FROM ra WHERE day = DATE '2024-01-17' AND raw >= 1 AND asset_id NOT IN (SELECT asset_id FROM st WHERE state IN ('planned', 'work_done'))")
+@query(_ASPECT + ", " + _JOBSQL.removeprefix("WITH ") + " SELECT asset_id FROM ra WHERE day = DATE '2024-01-17' AND raw >= 1 AND asset_id NOT IN (SELECT asset_id FROM st WHERE state IN ('planned', 'work_done') AND \"window\" = DATE '2024-01-18')")
 def flagged_without_job(spark: SparkSession, sf: str) -> DataFrame:
     on = F.lit("2024-01-17").cast("date")
-    open_jobs = M.job_states(_jobs(spark), on).where(F.col("state").isin("planned", "work_done"))
+    open_jobs = M.job_states(_jobs(spark, sf), on).where(F.col("state").isin("planned", "work_done") & (F.col("window") == F.lit("2024-01-18").cast("date")))
     return _aspects(spark, sf).where((F.col("day") == on) & (F.col("raw_aspect") >= 1)).join(open_jobs, "asset_id", "left_anti").select("asset_id")
 
 
@@ -1079,6 +1089,35 @@ def onboarding(spark: SparkSession, sf: str) -> DataFrame:
     return M.onboarding(d, "charge", ntz("2024-01-20 00:00:00"), 14).withColumn("loc", r("loc")).withColumn("scale", r("scale"))
 
 
+@query(
+    f"""WITH {V.DAILY}, z AS (SELECT asset_id, day, coalesce(charge >= 30, false) AS e, data_quality_ok AND coalesce(charge < 60, false) AS a, NOT data_quality_ok OR coalesce(charge >= 55, false) AS u, n_cycles < 5 AS quiet FROM daily)
+ SELECT * FROM (SELECT asset_id, day, unnest(list_filter([CASE WHEN e AND NOT a AND NOT u THEN 'missing' END, CASE WHEN a AND u THEN 'both' END, CASE WHEN NOT e AND (a OR u) THEN 'unexpected' END, CASE WHEN u AND quiet THEN 'no_reason' END], lambda x: x IS NOT NULL)) AS violation FROM z)"""
+)
+def coverage_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """High days should each be assessed or declared unavailable with a reason; what is not so, as rows."""
+    from vigilo.operators.reconcile import reconcile
+
+    d = V.daily(spark, sf).withColumn("why", F.when(F.col("n_cycles") >= 5, "channel"))
+    keep = ["asset_id", "day", "why"]
+    ok = F.col("data_quality_ok")
+    return reconcile(d.where("charge >= 30").select(keep), d.where(ok & (F.col("charge") < 60)).select(keep), d.where(~ok | F.coalesce(F.col("charge") >= 55, F.lit(False))).select(keep), ["asset_id", "day"], "why")
+
+
+@query(
+    f"""WITH {V.DAILY}, {_WORK_SQL} SELECT job_id, CAST(min(d.day - CAST(started_at AS DATE)) AS INTEGER) AS days_after, arg_min(d.day, d.day) AS day FROM jb JOIN daily d ON d.asset_id = jb.asset_id AND d.day > CAST(started_at AS DATE) AND d.day <= CAST(started_at AS DATE) + 8
+ WHERE quality_ready AND charge < 30 GROUP BY 1"""
+)
+def verification_search(spark: SparkSession, sf: str) -> DataFrame:
+    """For each order's job the first of the eight days after it that reads as recovered."""
+    from vigilo.operators.reconcile import first_match
+
+    d = V.daily(spark, sf).select("asset_id", "day", "quality_ready", "charge")
+    j = _work(spark, sf).select("job_id", "asset_id", F.col("started_at").cast("date").alias("start"))
+    after = F.datediff("day", "start")
+    met = j.join(d, "asset_id").where((after >= 1) & (after <= 8)).select("job_id", after.alias("days_after"), "day", (F.col("quality_ready") & (F.col("charge") < 30)).alias("ok"))
+    return first_match(met, "job_id", ["days_after"], "ok")
+
+
 # ---- ingestion ---------------------------------------------------------------------------------------------------
 
 
