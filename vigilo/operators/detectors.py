@@ -11,7 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilo.operators.features import smooth
@@ -173,41 +173,125 @@ class EWMA:
         return ewma_chart(rows, self.reference, self.column, self.lam, out).select(*KEY, out)
 
 
-#: Rows of one block of neighbours' search: the memory of a task follows its square.
+#: Reference points of one cell, about, and query rows that are compared with a cell at a time.
 BLOCK_ROWS = 2_000
+#: Cells at most; their pivots and bounds are what the driver and every task hold.
+MOST_CELLS = 4_096
+
+
+def _points_of(reference: DataFrame, k: int) -> DataFrame:
+    """(x, ids): distinct points with their smallest ``k`` ids; equal rows are one point, so they cost no comparisons."""
+    place = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    return reference.select("x", "id", place.alias("r")).where(F.col("r") <= k).groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Pivots, the reach of each cell, and the distances of its nearest points to its pivot, padded with infinity."""
+
+    pivots: np.ndarray  # cells x columns
+    reach: np.ndarray  # cells
+    near: np.ndarray  # cells x wanted
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = _distances(x, self.pivots)
+        at = d.argmin(axis=1)
+        return at, d[np.arange(len(x)), at]
+
+    def visits(self, x: np.ndarray, wanted: int) -> np.ndarray:
+        """Which cells can hold one of the ``wanted`` nearest points of each row: rows x cells.
+
+        A point lies no farther than its pivot and its own distance to it together, so the wanted-th smallest of these
+        sums bounds the neighbours' distance; a cell whose pivot is farther than that by more than its reach holds none.
+        """
+        d = _distances(x, self.pivots)
+        sums = (d[:, :, None] + self.near[None]).reshape(len(x), -1)
+        bound = np.partition(sums, min(wanted, sums.shape[1]) - 1, axis=1)[:, min(wanted, sums.shape[1]) - 1]
+        return d - self.reach[None] <= (bound * (1 + 1e-9) + 1e-12)[:, None]
+
+
+def _cells(reference: DataFrame, wanted: int, size: int) -> tuple[DataFrame, Cells]:
+    """(x, ids, cell) of the distinct reference points, and the cells' bounds; pivots are points taken by hash."""
+    points = materialize(_points_of(reference, wanted), "near-points")
+    n = min(MOST_CELLS, max(1, -(-size // BLOCK_ROWS)))
+    pivots = np.array([r.x for r in points.orderBy(F.xxhash64("x"), "x").limit(n).collect()], float)
+    start = Cells(pivots, np.zeros(0), np.zeros(0))
+
+    def assign(batches):
+        for batch in batches:
+            for s in range(0, len(batch), 1024):
+                part = batch.iloc[s : s + 1024]
+                cell, d = start.home(np.array(part["x"].tolist(), float))
+                yield part.assign(cell=cell.astype("int32"), d=d)
+
+    placed = materialize(points.mapInPandas(assign, "x array<double>, ids array<long>, cell int, d double"), "near-cells")
+    # Points of several ids count as often, up to the wanted number.
+    each = placed.select("cell", "d", F.explode("ids"))
+    nearest = each.select("cell", "d", F.row_number().over(Window.partitionBy("cell").orderBy("d")).alias("r")).where(F.col("r") <= wanted)
+    held = {r.cell: sorted(r.ds) for r in nearest.groupBy("cell").agg(F.collect_list("d").alias("ds")).collect()}
+    far = {r.cell: r.far for r in placed.groupBy("cell").agg(F.max("d").alias("far")).collect()}
+    near = np.full((len(pivots), wanted), np.inf)
+    for c, ds in held.items():
+        near[c, : len(ds)] = ds
+    return placed, Cells(pivots, np.array([far.get(c, -np.inf) for c in range(len(pivots))]), near)
+
+
+def _visiting(queries: DataFrame, cells: Cells, wanted: int) -> DataFrame:
+    """(id, x, cell): each query with every cell that can hold one of its nearest points."""
+    step = max(1, 4_000_000 // max(1, cells.near.size))
+
+    def visit(batches):
+        for batch in batches:
+            for s in range(0, len(batch), step):
+                part = batch.iloc[s : s + step]
+                row, cell = np.nonzero(cells.visits(np.array(part["x"].tolist(), float), wanted))
+                yield part.iloc[row].assign(cell=cell.astype("int32"))
+
+    return queries.select("id", "x").mapInPandas(visit, "id long, x array<double>, cell int")
 
 
 def _nearest(queries: DataFrame, reference: DataFrame, k: int, n_queries: int, n_reference: int, same: bool) -> DataFrame:
     """(q, near): the ``k`` nearest reference rows of each query, nearest first; both have (id, x array<double>).
 
-    Exact: each block of queries meets each block of the reference in a task of its own, which keeps the ``k`` best of
-    each query, and the best of those stay.  With ``same`` a row is not its own neighbour.  Ties go to the smaller id.
+    Exact, by cells around pivots and the triangle inequality: a query meets only cells that can hold one of its nearest
+    rows, some of it at a time, and keeps the best of each.  With ``same`` a row is not its own neighbour.  Ties go to
+    the smaller id.
     """
-    blocks = lambda n: max(1, -(-n // BLOCK_ROWS))
-
-    def gathered(df: DataFrame, n: int) -> DataFrame:
-        held = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks(n))).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "x")).alias("xs"))
-        return held.select("b", F.transform("xs", lambda s: s.id).alias("ids"), F.flatten(F.transform("xs", lambda s: s.x)).alias("x"))
-
-    left = gathered(queries, n_queries).select(F.col("ids").alias("qids"), F.col("x").alias("qx"), F.explode(F.sequence(F.lit(0), F.lit(blocks(n_reference) - 1))).alias("b"))
+    wanted = k + same
+    if wanted < 1:
+        return queries.sparkSession.createDataFrame([], "q long, near array<struct<d:double,id:long>>")
+    placed, cells = _cells(reference, wanted, n_reference)
+    blocks = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_queries // BLOCK_ROWS))))
+    left = _visiting(queries, cells, wanted).groupBy("cell", blocks.alias("b")).agg(F.collect_list(F.struct("id", "x")).alias("xs"))
+    left = left.select("cell", F.transform("xs", lambda s: s.id).alias("qids"), F.flatten(F.transform("xs", lambda s: s.x)).alias("qx"))
+    right = placed.groupBy("cell").agg(F.collect_list(F.struct("x", "ids")).alias("xs"))
+    right = right.select("cell", F.transform("xs", lambda s: s.ids).alias("ids"), F.flatten(F.transform("xs", lambda s: s.x)).alias("x"))
 
     def best(batches):
         for batch in batches:
             for qids, qx, ids, x in zip(batch["qids"], batch["qx"], batch["ids"], batch["x"], strict=True):
-                ids, qids = np.asarray(ids), np.asarray(qids)
-                order = np.argsort(ids)
-                ids, x, qx = ids[order], np.asarray(x, float).reshape(len(ids), -1)[order], np.asarray(qx, float).reshape(len(qids), -1)
-                for s in range(0, len(qids), 256):
-                    d = np.sqrt(((qx[s : s + 256, None] - x[None]) ** 2).sum(axis=2))
+                copies = [len(i) for i in ids]
+                point = np.repeat(np.arange(len(ids)), copies)
+                flat = np.concatenate([np.asarray(i) for i in ids])
+                order = np.argsort(flat)
+                flat, x = flat[order], np.asarray(x, float).reshape(len(ids), -1)[point[order]]
+                qids = np.asarray(qids)
+                qx = np.asarray(qx, float).reshape(len(qids), -1)
+                step = max(1, 2_000_000 // max(1, x.size))
+                for s in range(0, len(qids), step):
+                    d = _distances(qx[s : s + step], x)
                     if same:
-                        d[qids[s : s + 256, None] == ids[None]] = np.inf
+                        d[qids[s : s + step, None] == flat[None]] = np.inf
                     at = np.argsort(d, axis=1, kind="stable")[:, :k]
                     far = np.take_along_axis(d, at, axis=1)
                     q, c = np.nonzero(np.isfinite(far))
-                    yield pd.DataFrame({"q": qids[s + q], "d": far[q, c], "id": ids[at[q, c]]})
+                    yield pd.DataFrame({"q": qids[s + q], "d": far[q, c], "id": flat[at[q, c]]})
 
-    pairs = left.join(gathered(reference, n_reference), "b").select("qids", "qx", "ids", "x")
-    found = pairs.mapInPandas(best, "q long, d double, id long")
+    found = left.join(right, "cell").select("qids", "qx", "ids", "x").mapInPandas(best, "q long, d double, id long")
     return found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, k).alias("near"))
 
 
