@@ -64,13 +64,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def running_total(df: DataFrame, block: str, order: list[str], value: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, block: str, order: list[str], value: str, out: str, totals: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows before this one in (block, order).
 
     The total of each block is one row, so only block totals meet in one task; the rows of a block are summed where
     the block lies.  ``block`` must be an integer column that ascends with ``order`` and whose blocks are bounded.
+    ``totals`` (block, __t) may be given where ``df`` is dear to compute twice.
     """
-    totals = df.groupBy(block).agg(F.sum(value).alias("__t"))
+    totals = df.groupBy(block).agg(F.sum(value).alias("__t")) if totals is None else totals
     before = Window.orderBy(F.col(block).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(block, F.coalesce(F.sum("__t").over(before), F.lit(0)).cast("long").alias("__o"))
     inside = Window.partitionBy(block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -92,4 +92,5 @@ def token_digest(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "block", "row", "n_tokens", "ids_crc32"])
 
     rows = tokens.select("doc_id", "ids", "block", "row").mapInArrow(digest, "doc_id long, block int, row long, n_tokens long, ids_crc32 long")
-    return running_total(rows, "block", ["row"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+    totals = tokens.groupBy("block").agg(F.sum(F.size("ids").cast("long")).alias("__t"))  # without a second pass through Python
+    return running_total(rows, "block", ["row"], "n_tokens", "start", totals).select("doc_id", "start", "n_tokens", "ids_crc32")
