@@ -263,3 +263,39 @@ def test_assess_is_one_commit_and_readers_check(spark, tmp_path):
     with pytest.raises(ValueError, match="not a part"):
         io.RepairStore(spark, str(tmp_path / "a"), readonly=True)
     assert not io.put_if_absent(spark, f"{store.root}/_commits/{1:012d}.json", "x") and io.put_if_absent(spark, f"{store.root}/_commits/{99:012d}.json", "x")
+
+
+# ---- ingestion
+
+
+def test_mapping_scores_aliases_too():
+    from vigilo.sources import adapters
+
+    got = adapters.scored_mapping(["Equipmnt ID", "I Peak", "zzz"], ["asset_id", "peak_current_a", "other"], {"asset_id": ["equipment_id"], "peak_current_a": ["i_peak"]})
+    assert got["asset_id"][0] == "Equipmnt ID" and 0.8 < got["asset_id"][1] < 1 and got["peak_current_a"] == ("I Peak", 1.0) and "other" not in got
+    assert adapters.suggest_mapping(["a", "a"], [], {}) == {} and adapters.scored_mapping([], ["x"]) == {}
+
+
+def test_mixed_times_are_refused_unless_a_zone_is_declared(spark, tmp_path):
+    from vigilo.functions import text
+    from vigilo.sources import episodes
+
+    times = ["2024-01-01 08:00:00", "2024-01-01T08:00:00+08:00", None, ""]
+    df = spark.createDataFrame([(t,) for t in times], "t string")
+    assert text.mixed_times(df, "t") and not text.mixed_times(df.where("t like '%+%' or t is null"), "t") and not text.mixed_times(df.limit(0), "t")
+    path = str(tmp_path / "e.csv")
+    with open(path, "w") as f:
+        f.write("asset_id,train_id,onset_ts,fault_ts\nA,T,2024-01-01 00:00:00,2024-01-05T00:00:00+00:00\nA,T,2024-01-01 00:00:00,2024-01-05T00:00:00+00:00\nB,T,2024-01-01 00:00:00,2024-01-02 00:00:00\n")
+    assets = spark.createDataFrame([("A",), ("B",)], "asset_id string")
+    rows, problems = episodes.read_episodes(spark, path, assets)
+    assert problems == ["fault_ts mixes times with and without an offset", "1 episodes: repeated"]
+    assert {r.fault_ts for r in rows.where("asset_id = 'A'").collect()} == {dt.datetime(2024, 1, 5, 8)}
+    rows, problems = episodes.read_episodes(spark, path, assets, source_zone="UTC")
+    assert problems == ["1 episodes: repeated"] and rows.where("asset_id = 'B'").first().fault_ts == dt.datetime(2024, 1, 2, 8)
+
+
+def test_recovery_median_counts_those_that_never_recovered(spark):
+    from vigilo.operators import monitoring
+
+    ask = lambda *x: monitoring.recovery_summary(spark.createDataFrame([(v,) for v in x], "recovery_days double")).first()
+    assert tuple(ask(1.0, 2.0, None)) == (3, 2, 2.0) and tuple(ask(1.0, None)) == (2, 1, None) and tuple(ask(1.0, 3.0, 5.0, None)) == (4, 3, 4.0) and tuple(ask()) == (0, 0, None)

@@ -43,6 +43,14 @@ def unknown_tokens(df: DataFrame, column: str, tokens: dict[str, bool], show: in
 OFFSET = r"(?:[zZ]|[+-]\d{2}:?\d{2})$"
 
 
+def mixed_times(df: DataFrame, column: str) -> bool:
+    """Whether a text column holds times with an offset and times without one: one aggregation of two counts."""
+    s = F.trim(F.col(column).cast("string"))
+    said = s.isNotNull() & (s != "")
+    got = df.agg(F.count_if(said & s.rlike(OFFSET)).alias("aware"), F.count_if(said & ~s.rlike(OFFSET)).alias("local")).first()
+    return got["aware"] > 0 and got["local"] > 0
+
+
 def parse_time(raw: Column, fmt: str | None = None, zone: str = "Asia/Singapore", source_zone: str | None = None) -> Column:
     """Text to local time of ``zone``, without an offset; bad text gives null.
 

@@ -78,6 +78,16 @@ def recovery_days(scored: DataFrame, score: str, assets: DataFrame, resumed_at:
     return assets.select("asset_id").distinct().join(after, "asset_id", "left").select("asset_id", (F.timestamp_diff("SECOND", resumed_at, F.col("at")) / 86400.0).alias("recovery_days"))
 
 
+def recovery_summary(recovered: DataFrame, days: str = "recovery_days") -> DataFrame:
+    """(assets, recovered, median_days): the median over all assets, those that never recovered counted as longest.
+
+    Null where the middle falls among them, so that a few quick recoveries do not stand for a fleet that stays dark.
+    """
+    x = F.coalesce(F.col(days), F.lit(float("inf")))
+    got = recovered.agg(F.count("*").alias("assets"), F.count(days).alias("recovered"), F.percentile(x, F.lit(0.5)).alias("m"))
+    return got.select("assets", "recovered", F.when(F.col("m") < float("inf"), F.col("m")).alias("median_days"))
+
+
 def perturb(cycles: DataFrame, scenario: str, after: str, assets: list[str], column: str, context: str, seed: int = 0, key: tuple[str, ...] = ("asset_id", "ts")) -> DataFrame:
     """Label-free stress on some assets from a time on; random losses depend on the row's key alone, so they repeat."""
     t = F.lit(after).cast("timestamp_ntz")

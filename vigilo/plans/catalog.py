@@ -738,6 +738,17 @@ def recovery_days(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("asset_id", r("recovery_days").alias("recovery_days"))
 
 
+@query(
+    _SMOOTHED
+    + """, rc AS (SELECT asset_id, datediff('second', TIMESTAMP '2024-01-12 06:00:00', min(CASE WHEN score IS NOT NULL AND available_at >= TIMESTAMP '2024-01-12 06:00:00' THEN available_at END)) / 86400.0::DOUBLE AS x FROM sm GROUP BY 1),
+ l AS (SELECT count(*) AS n, count(x) AS k, list_sort(list(x) FILTER (WHERE x IS NOT NULL)) AS xs FROM rc) SELECT n AS assets, k AS recovered, round(CASE WHEN n // 2 + 1 <= k THEN (xs[(n + 1) // 2] + xs[n // 2 + 1]) / 2 END, 6) AS median_days FROM l"""
+)
+def recovery_summary(spark: SparkSession, sf: str) -> DataFrame:
+    d = V.daily(spark, sf)
+    got = M.recovery_summary(M.recovery_days(X.frozen_score(d, F.col("charge"), "score"), "score", d, ntz("2024-01-12 06:00:00")))
+    return got.select("assets", "recovered", r("median_days").alias("median_days"))
+
+
 @query(f"WITH {V.CYC} SELECT asset_id, CAST(ts AS DATE) AS day, count(*) AS n FROM cyc WHERE NOT (asset_id IN ('A01', 'A02') AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND datediff('day', DATE '2024-01-10', CAST(ts AS DATE)) % 3 = 0) GROUP BY 1, 2")
 def perturb_missing_days(spark: SparkSession, sf: str) -> DataFrame:
     c = M.perturb(V.cycles(spark, sf), "missing_days", "2024-01-10 00:00:00", ["A01", "A02"], "charge", "ambient")

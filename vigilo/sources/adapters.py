@@ -21,23 +21,29 @@ def squash(name: str) -> str:
     return "".join(c for c in name.lower() if c.isascii() and c.isalnum())
 
 
-def suggest_mapping(columns: list[str], wanted: list[str], aliases: dict[str, list[str]] | None = None, cutoff: float = CUTOFF) -> dict[str, str]:
-    """wanted -> source column: exact names and aliases first, then the closest name; a source serves once."""
+def scored_mapping(columns: list[str], wanted: list[str], aliases: dict[str, list[str]] | None = None, cutoff: float = CUTOFF) -> dict[str, tuple[str, float]]:
+    """wanted -> (source column, confidence): exact names and aliases first at 1.0, then the closest, by name or alias; a source serves once."""
     free = {squash(c): c for c in columns}
-    found: dict[str, str] = {}
+    names = {w: [squash(n) for n in (w, *(aliases or {}).get(w, []))] for w in wanted}
+    found: dict[str, tuple[str, float]] = {}
     for w in wanted:
-        for name in [w, *(aliases or {}).get(w, [])]:
-            if squash(name) in free:
-                found[w] = free.pop(squash(name))
-                break
+        if exact := next((n for n in names[w] if n in free), None):
+            found[w] = free.pop(exact), 1.0
     for w in wanted:
-        if w not in found:
-            scored = sorted(((difflib.SequenceMatcher(None, squash(w), k).ratio(), k) for k in free), reverse=True)
-            if scored and scored[0][0] >= cutoff:
-                found[w] = free.pop(scored[0][1])
+        if w in found:
+            continue
+        near = [(difflib.SequenceMatcher(None, n, k).ratio(), k) for n in names[w] for k in free]
+        ratio, key = max(near, default=(0.0, ""))
+        if near and ratio >= cutoff:
+            found[w] = free.pop(key), round(ratio, 2)
     return found
 
 
+def suggest_mapping(columns: list[str], wanted: list[str], aliases: dict[str, list[str]] | None = None, cutoff: float = CUTOFF) -> dict[str, str]:
+    """The columns of ``scored_mapping``, for a person to review."""
+    return {w: c for w, (c, _) in scored_mapping(columns, wanted, aliases, cutoff).items()}
+
+
 @dataclass
 class Mapping:
     columns: dict[str, str]
@@ -60,7 +66,8 @@ class Mapping:
 def apply_mapping(raw: DataFrame, mapping: Mapping, sub: Subsystem) -> tuple[DataFrame, list[str]]:
     """(cycles, notes): rename, read times and numbers, scale, derive, fill contexts, put in contract order.
 
-    Unreadable numbers and times are null, non-finite numbers too; unknown boolean words are refused.
+    Unreadable numbers and times are null, non-finite numbers too; unknown boolean words are refused, and so is a
+    column that mixes times with and without an offset where no zone is declared.
     """
     problems = mapping.problems(raw.columns)
     if problems:
@@ -71,6 +78,8 @@ def apply_mapping(raw: DataFrame, mapping: Mapping, sub: Subsystem) -> tuple[Dat
     cols = {}
     for k, c in src.items():
         if k == "ts":
+            if mapping.source_timezone is None and dict(raw.dtypes)[mapping.columns[k]] == "string" and text.mixed_times(raw.select(c.alias("ts")), "ts"):
+                raise ValueError("times with and without an offset: declare the zone of those without")
             cols[k] = c.cast("timestamp_ntz") if dict(raw.dtypes)[mapping.columns[k]].startswith("timestamp") else text.parse_time(c.cast("string"), mapping.timestamp_format, source_zone=mapping.source_timezone)
         elif k in numeric:
             x = c.try_cast("double") * mapping.unit_scales.get(k, 1.0)
