@@ -27,9 +27,9 @@ from vigilo.llm.common import materialize
 from vigilo.llm.wordbpe import byte_letters
 
 #: Characters of text that make one pack.
-PACK_CHARS = 4 << 20
+PACK_CHARS = 2 << 20
 #: Segments a worker keeps before it starts afresh.
-KEEP = 300_000
+KEEP = 200_000
 #: A segment: white space, the characters after it, and all that follows up to the next space after a character.
 SEGMENT = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
 #: What the byte-level file's pre-tokenizer splits by: a fixed value of that kind of file.
