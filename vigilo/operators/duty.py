@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +121,53 @@ def duty_label(state: Column, aspect: Column, sensitivity: Column, sensitive: Co
         .when(peak_state == "threshold_exceeded", "off_peak_only")
         .otherwise("full_service")
     )
+
+
+def assess_duty(card: DataFrame, sensitivity: DataFrame, loads: DataFrame, index: str, predict: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``card`` with what service its evidence allows: base, peak and off-peak states, indices at those loads, duty, duty_reason.
+
+    ``card`` has asset_id, day, prediction_state, aspect and ``index``; ``sensitivity`` is of ``load_sensitivity``,
+    ``loads`` one row of load_peak and load_offpeak.  ``predict(rows, index)`` adds prediction_state by the card's own
+    life model; it runs again on the index moved to either load along the asset's sensitivity.  A day that the card
+    cannot assess is not assessed at peak either.
+    """
+    own = sensitivity.select("asset_id", "day", "load_sensitivity", F.coalesce("load_sensitive", F.lit(False)).alias("load_sensitive"), "window_mean_load")
+    base = card.withColumnRenamed("prediction_state", "base_state").drop("rul_point", "rul_lower", "rul_upper")
+    out = base.join(own, ["asset_id", "day"], "left").crossJoin(F.broadcast(loads)).withColumn("load_sensitive", F.coalesce("load_sensitive", F.lit(False)))  # one row
+    for side in ("peak", "offpeak"):
+        shift = F.when(F.col("load_sensitive"), F.col("load_sensitivity") * (F.col(f"load_{side}") - F.col("window_mean_load")))
+        out = predict(out.withColumn(f"{side}_index", F.col(index) + F.coalesce(shift, F.lit(0.0))), f"{side}_index")
+        out = out.withColumnRenamed("prediction_state", f"{side}_state").drop("rul_point", "rul_lower", "rul_upper")
+    state, aspect, slope, sensitive, peak = (F.col(c) for c in ("base_state", "aspect", "load_sensitivity", "load_sensitive", "peak_state"))
+    reason = (
+        F.when(~F.coalesce(state.isin("valid", "threshold_exceeded", "no_worsening_trend"), F.lit(False)), "no_base_estimate")
+        .when(state == "threshold_exceeded", "beyond_failure_level")
+        .when(aspect == -1, "no_base_estimate")
+        .when(slope.isNull(), "too_little_load_contrast")
+        .when(~sensitive, "not_load_sensitive")
+        .when(peak == "threshold_exceeded", "beyond_failure_level_at_peak")
+        .otherwise("within_failure_level_at_peak")
+    )
+    return out.withColumn("duty", duty_label(state, aspect, slope, sensitive, peak)).withColumn("duty_reason", reason)
+
+
+def duty_summary(assessed: DataFrame, episodes: DataFrame) -> DataFrame:
+    """One row: episodes whose asset showed load sensitivity, or was restricted, by the fault, with median leads; and how often healthy assets were.
+
+    The interval is closed: a restriction on the fault's own instant counts.  Healthy assets have no episode.
+    """
+    e = episodes.select("episode_id", F.col("asset_id").alias("__a"), "onset_ts", "fault_ts")
+    inside = (F.col("asset_id") == F.col("__a")) & (F.col("available_at") >= F.col("onset_ts")) & (F.col("available_at") <= F.col("fault_ts"))
+    lead = F.timestamp_diff("MICROSECOND", F.col("available_at"), F.col("fault_ts")) / 86_400_000_000
+    marks = {"sensitive": F.col("load_sensitive"), "restricted": F.col("duty") == "off_peak_only"}
+    per = e.join(assessed, inside, "left").groupBy("episode_id").agg(*(F.max(F.when(m, lead)).alias(n) for n, m in marks.items()))
+    found = per.agg(
+        F.count("*").alias("episodes"),
+        F.count("sensitive").alias("episodes_sensitive"),
+        F.percentile("sensitive", F.lit(0.5)).alias("median_sensitivity_lead_days"),
+        F.count("restricted").alias("episodes_restricted"),
+        F.percentile("restricted", F.lit(0.5)).alias("median_restriction_lead_days"),
+    )
+    healthy = assessed.where(F.col("duty") != "not_assessed").join(episodes.select("asset_id").distinct(), "asset_id", "left_anti")
+    calm = healthy.agg(F.count("*").alias("healthy_days"), F.count_if(marks["sensitive"]).alias("healthy_days_sensitive"), F.count_if(marks["restricted"]).alias("healthy_days_restricted"))
+    return found.crossJoin(F.broadcast(calm))  # one row each

@@ -471,29 +471,50 @@ def band_loads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _assessed(spark: SparkSession, sf: str) -> DataFrame:
-    """The card's states, and the same model again on the index shifted to peak load."""
-    card = D.damp(_aspects(spark, sf))
     c = V.cycles(spark, sf)
-    peak = U.band_loads(c, U.peak_bands(c)).select("load_peak")
-    d = card.join(_duty(spark, sf).select("asset_id", "day", "load_sensitivity", "load_sensitive", "window_mean_load"), ["asset_id", "day"], "left").crossJoin(F.broadcast(peak))  # one row
-    d = d.withColumn("load_sensitive", F.coalesce("load_sensitive", F.lit(False)))
-    shift = F.when(F.col("load_sensitive"), F.col("load_sensitivity") * (F.col("load_peak") - F.col("window_mean_load"))).otherwise(0.0)
-    base = d.withColumn("peak_index", F.col("x_smooth") + F.coalesce(shift, F.lit(0.0))).withColumnRenamed("prediction_state", "base_state").drop("rul_point", "rul_lower", "rul_upper")
-    again = L.predict(base, "peak_index", "x_slope", _T, -2.5, 4.0, L.LifePolicy(elevated=100.0)).withColumnRenamed("prediction_state", "peak_state")
-    return again.withColumn("duty", U.duty_label(F.col("base_state"), F.col("aspect"), F.col("load_sensitivity"), F.col("load_sensitive"), F.col("peak_state")))
+    model = lambda rows, index: L.predict(rows, index, "x_slope", _T, -2.5, 4.0, L.LifePolicy(elevated=100.0))
+    return U.assess_duty(D.damp(_aspects(spark, sf)), _duty(spark, sf), U.band_loads(c, U.peak_bands(c)), "x_smooth", model)
 
 
-@query()
+_AT = f"CASE WHEN NOT context_supported THEN 'outside_training_conditions' WHEN NOT data_quality_ok THEN 'insufficient_data' WHEN {{i}} >= {_T} THEN 'threshold_exceeded' WHEN {{i}} IS NULL OR s IS NULL THEN 'insufficient_history' WHEN s <= 0.25 AND {{i}} >= 100 THEN 'elevated_no_trend' WHEN s <= 0.25 THEN 'no_worsening_trend' WHEN least(greatest(CASE WHEN {{i}} >= 1 THEN ln({_T} / {{i}}) / (s / {{i}}) ELSE ({_T} - {{i}}) / s END, 0), 90) >= 90 THEN 'outside_horizon' ELSE 'valid' END"
+_ASSESSED = (
+    _DAMP
+    + ", "
+    + _DUTY.removeprefix(f"WITH {V.CYC}, ")
+    + ", "
+    + _BANDS.removeprefix(f"WITH {V.CYC}, ")
+    + """, m AS (SELECT load_proxy AS l, EXISTS (SELECT 1 FROM bands WHERE floor(hour_of_day) >= start_hour AND floor(hour_of_day) < end_hour) AS inside FROM cyc),
+ bl AS (SELECT coalesce(quantile_cont(CASE WHEN inside THEN l END, 0.9), avg(l)) AS lp, coalesce(quantile_cont(CASE WHEN NOT inside THEN l END, 0.5), avg(l)) AS lo FROM m),
+ a0 AS (SELECT pr.*, f.shown, CASE WHEN z.ok THEN z.b END AS sens, coalesce(z.load_sensitive, false) AS sensitive, z.wl / z.sn AS anchor, lp, lo FROM pred pr JOIN f USING (asset_id, day) LEFT JOIN z ON z.asset_id = pr.asset_id AND z.day = pr.day, bl),
+ a1 AS (SELECT *, i0 + coalesce(CASE WHEN sensitive THEN sens * (lp - anchor) END, 0) AS peak_index, i0 + coalesce(CASE WHEN sensitive THEN sens * (lo - anchor) END, 0) AS offpeak_index FROM a0),
+ a2 AS (SELECT *, """
+    + _AT.format(i="peak_index")
+    + " AS peak_state, "
+    + _AT.format(i="offpeak_index")
+    + """ AS offpeak_state FROM a1),
+ asd AS (SELECT *, CASE WHEN prediction_state NOT IN ('valid', 'threshold_exceeded', 'no_worsening_trend') THEN 'no_base_estimate' WHEN prediction_state = 'threshold_exceeded' THEN 'beyond_failure_level' WHEN shown = -1 THEN 'no_base_estimate' WHEN sens IS NULL THEN 'too_little_load_contrast'
+ WHEN NOT sensitive THEN 'not_load_sensitive' WHEN peak_state = 'threshold_exceeded' THEN 'beyond_failure_level_at_peak' ELSE 'within_failure_level_at_peak' END AS duty_reason FROM a2),
+ du AS (SELECT *, CASE duty_reason WHEN 'beyond_failure_level' THEN 'withdraw' WHEN 'beyond_failure_level_at_peak' THEN 'off_peak_only' WHEN 'not_load_sensitive' THEN 'full_service' WHEN 'within_failure_level_at_peak' THEN 'full_service' ELSE 'not_assessed' END AS duty FROM asd)"""
+)
+
+
+@query(_ASSESSED + " SELECT asset_id, day, prediction_state AS base_state, peak_state, offpeak_state, round(peak_index, 4) AS peak_index, duty, duty_reason FROM du")
 def duty_label(spark: SparkSession, sf: str) -> DataFrame:
-    return _assessed(spark, sf).select("asset_id", "day", "base_state", "peak_state", r("peak_index", 4).alias("peak_index"), "duty")
+    """The card's states, and the same model again on the index moved to peak and off-peak load."""
+    return _assessed(spark, sf).select("asset_id", "day", "base_state", "peak_state", "offpeak_state", r("peak_index", 4).alias("peak_index"), "duty", "duty_reason")
 
 
-@query()
+@query(
+    _ASSESSED
+    + f""", {V.EPS}, ld AS (SELECT episode_id, max(CASE WHEN sensitive THEN (epoch_us(fault_ts) - epoch_us(available_at)) / 86400e6 END) AS s, max(CASE WHEN duty = 'off_peak_only' THEN (epoch_us(fault_ts) - epoch_us(available_at)) / 86400e6 END) AS r
+ FROM eps ep LEFT JOIN du ON du.asset_id = ep.asset_id AND available_at >= onset_ts AND available_at <= fault_ts GROUP BY 1), h AS (SELECT * FROM du WHERE duty <> 'not_assessed' AND asset_id NOT IN (SELECT asset_id FROM eps))
+ SELECT count(*) AS episodes, count(s) AS episodes_sensitive, round(quantile_cont(s, 0.5), 6) AS median_sensitivity_lead_days, count(r) AS episodes_restricted, round(quantile_cont(r, 0.5), 6) AS median_restriction_lead_days,
+ (SELECT count(*) FROM h) AS healthy_days, (SELECT count(*) FROM h WHERE sensitive) AS healthy_days_sensitive, (SELECT count(*) FROM h WHERE duty = 'off_peak_only') AS healthy_days_restricted FROM ld"""
+)
 def duty_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Closed interval: a restriction on the fault's own instant still counts."""
-    a = _assessed(spark, sf)
-    hit = L.in_episode(a, V.episodes(spark), closed=True)
-    return hit.groupBy("episode_id").agg(F.max(F.col("load_sensitive").cast("int")).alias("sensitive"), F.count_if(F.col("duty") == "off_peak_only").alias("restricted_days"), F.count_if(F.col("duty") == "withdraw").alias("withdraw_days"))
+    s = U.duty_summary(_assessed(spark, sf), V.episodes(spark))
+    return s.withColumns({c: r(c) for c in ("median_sensitivity_lead_days", "median_restriction_lead_days")})
 
 
 # ---- detectors and replay ----------------------------------------------------------------------------------------
