@@ -879,11 +879,11 @@ _STREAM_DAYS = "available_at <= (SELECT max(available_at) FROM daily) - INTERVAL
     + _STREAM_DAYS.format(3)
 )
 def streamed_trend(spark: SparkSession, sf: str) -> DataFrame:
-    """Asset-days in four batches, dealt at random over them; the days that the watermark has closed."""
+    """Asset-days in batches of some ten days, in no order within them; the days that the watermark has closed."""
     from vigilo.streaming import run, windows
 
     d = V.daily(spark, sf).withColumn("x", F.when(F.col("data_quality_ok"), F.col("charge"))).select("asset_id", "day", "x", "data_quality_ok", "context_supported")
-    out = run.replayed(lambda s: windows.stream_windows(s, "x", "3 days"), d.withColumn("wave", F.weekofyear("day")), "streamed-trend", order="wave")
+    out = run.replayed(lambda s: windows.stream_windows(s, "x", "3 days"), d.withColumn("wave", F.floor(F.dayofmonth("day") / 11)), "streamed-trend", order="wave")
     return out.where("reported").select("asset_id", "day", r("smooth").alias("x_smooth"), r("slope", 4).alias("x_slope"), r("vol", 8).alias("x_vol"))
 
 
@@ -891,7 +891,7 @@ def streamed_trend(spark: SparkSession, sf: str) -> DataFrame:
 def streamed_alerts(spark: SparkSession, sf: str) -> DataFrame:
     from vigilo.streaming import alerts, run
 
-    d = V.daily(spark, sf).select("asset_id", "day", "available_at", "charge").withColumn("wave", F.weekofyear("day"))
+    d = V.daily(spark, sf).select("asset_id", "day", "available_at", "charge").withColumn("wave", F.floor(F.dayofmonth("day") / 11))
     return run.replayed(lambda s: alerts.stream_alerts(s, "charge", 40.0, 2, 3, "2 days"), d, "streamed-alerts", order="wave").select("asset_id", "day")
 
 
