@@ -39,3 +39,14 @@ def test_matches_sql(spark, db, name):
     want = [tuple(_value(r[at[c]]) for c in cols) for r in cur.fetchall()]
     got = [tuple(_value(r[c]) for c in cols) for r in df.collect()]
     assert _sorted(got) == _sorted(want)
+
+
+def test_replay_metrics_without_alerts(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"copy (select * replace (value / 1000 as value) from read_parquet('{SF}/events.parquet')) to '{tmp_path}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    df = catalog.QUERIES["replay_metrics"](spark, str(tmp_path))
+    cur = con.execute(catalog.ORACLES["replay_metrics"])
+    want = dict(zip([d[0] for d in cur.description], cur.fetchone()))
+    got = df.first().asDict()
+    assert got == want and got["alarms"] == 0 and got["precision"] is None

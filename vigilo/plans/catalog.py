@@ -633,7 +633,8 @@ def replay_metrics(spark: SparkSession, sf: str) -> DataFrame:
     m = R.alert_metrics(fired, e, 600)
     hit = L.in_episode(fired.select("asset_id", "available_at"), e).groupBy("episode_id").agg(F.max(L.days_between(F.col("available_at"), F.col("fault_ts")) / L.days_between(F.col("onset_ts"), F.col("fault_ts"))).alias("c"))
     mean = e.join(hit, "episode_id", "left").agg(F.avg(F.coalesce(F.least("c", F.lit(1.0)), F.lit(0.0))).alias("mean_capture"))
-    return m.crossJoin(mean).select("n_episodes", "detected", r("median_lead_d").alias("median_lead_d"), r("worst_lead_d").alias("worst_lead_d"), r("mean_capture").alias("mean_capture"), "alarms", r("precision").alias("precision"))
+    precision = F.when(F.col("alarms") > 0, r("precision"))  # the operator, as the reference, calls it 0 where nothing fired
+    return m.crossJoin(mean).select("n_episodes", "detected", r("median_lead_d").alias("median_lead_d"), r("worst_lead_d").alias("worst_lead_d"), r("mean_capture").alias("mean_capture"), "alarms", precision.alias("precision"))
 
 
 @query(
