@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -455,6 +456,46 @@ def test_near_dedup_equals_brute_force(spark):
     assert len(pairs) > 500 and {r.doc_id for r in nearcopies.near_dedup(df).collect()} == want
 
 
+def test_near_dedup_compares_crowded_bands(spark):
+    rng = random.Random(21)
+    rows = []
+    for family, edits in enumerate((13, 14)):  # most pairs differ by a little more than the threshold, few are links
+        base = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+        for k in range(200):
+            t = list(base)
+            for _ in range(edits):
+                t[rng.randrange(1000)] = f"x{rng.randrange(10**8)}"
+            rows.append((family * 1000 + k, " ".join(t)))
+    want, pairs = brute_near_kept(dict(rows))
+    kept = {r.doc_id for r in nearcopies.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == want and len(pairs) > 100 and len(want) > 100
+
+
+def test_blocks_join_as_pairs_do():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 300)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > 0.1], rng.integers(0, 1 << 62, int(rng.integers(0, 20)))])) for _ in range(90)]
+    labels = [k % 40 for k in range(90)]
+    for blocks in ([0] * 90, [k % 2 for k in range(90)]):
+        cell = pa.table({"block": blocks, "vid": list(range(90)), "label": labels, "s": pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))})
+        got = list(zip(*nearcopies._joined(cell, 0.8).to_pydict().values()))
+        near = {}
+        for i in range(90):
+            for j in range(i + 1, 90):
+                n = len(np.intersect1d(sets[i], sets[j]))
+                if n / (len(sets[i]) + len(sets[j]) - n) >= 0.8 and labels[i] != labels[j] and (len(set(blocks)) == 1 or blocks[i] != blocks[j]):
+                    near[i, j] = True
+
+        def parts(pairs):
+            root = list(range(40))
+            for i, j in pairs:
+                a, b = root[labels[i]], root[labels[j]]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+            return root
+
+        assert parts(got) == parts(near) and all(tuple(sorted(p)) in near for p in got) and len(got) == 40 - len(set(parts(near)))
+
+
 def test_near_dedup_passes_clashing_columns(spark):
     rows = [(1, "a b c d e f", 5, 6, None), (2, "A b c d e f", 7, 8, None), (3, None, 9, 1, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, __id long, __row long, `first.id` int")

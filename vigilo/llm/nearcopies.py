@@ -7,15 +7,17 @@ checked on the two whole shingle sets before it counts.
 
 Texts with equal shingle sets are one class from the start.  Each band first compares its classes with few of them
 only: ``TURNS`` chosen by hash and as many of those that meet most others, as the text does that others were made from.
-Then, until nothing new is found, bands whose classes lie in several components compare them across components, all
-pairs, wherever these are at most ``ACROSS`` for each class of the band.  So the number of comparisons grows with the
-number of classes, never with the square of a family; in exchange, a link between many components of one band, texts
-that nearly all differ by a little more than the threshold, may be missed (README has the measured share).
+Then, until nothing new is found, bands whose classes lie in several components compare them across components, pair by
+pair wherever these are at most ``ACROSS`` for each class of the band.  The bands that have more pairs, texts that
+nearly all differ by a little more than the threshold, are compared last, in blocks: a task counts what the sets of two
+blocks share by products of matrices, and only links leave it.  So every two classes of a band are compared or already
+connected, while rows grow with the number of classes and not with the square of a family.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -34,12 +36,12 @@ JACCARD = 0.8
 PRINTS = 3
 #: Bands and their minima: a pair at the threshold shares none with a chance of (1 - 0.8 ** 4) ** 24, 3.2e-6.
 BANDS, ROWS = 24, 4
-#: Bands that a pair must share to be compared on its sets; one at the threshold has fewer with a chance of 5e-4.
-LEAST_BANDS = 3
 #: Members of a band, by hash and again by how many they meet, with which the others are compared.
 TURNS = 2
-#: Pairs across components that a band compares at most for each of its classes.
+#: Pairs across components that a band compares one by one at most for each of its classes; beyond, in blocks.
 ACROSS = 16
+#: Classes of a block, and its shingles, on average; columns of a matrix at once.
+BLOCK, BLOCK_SHINGLES, WIDE = 512, 1 << 20, 1 << 11
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASK = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -165,32 +167,88 @@ def _pivoted(met: DataFrame) -> DataFrame:
     return met.select("key", "vid").join(pivots, "key").select(F.explode("us").alias("u"), F.col("vid").alias("v"))
 
 
-def _sharing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The distinct pairs (u, v), ordered, of classes (vid, bands) that share ``LEAST_BANDS`` bands."""
-    a, b = (classes.select(F.col("vid").alias(x), F.col("bands").alias(f"b{x}")) for x in "uv")
-    shared = F.size(F.array_intersect("bu", "bv"))
-    return _ordered(pairs).join(a, "u").join(b, "v").where(shared >= LEAST_BANDS).select("u", "v")
-
-
-def _across(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (u, v) of one band of ``met`` in different components by ``labels`` (vid, label), of bands that have few of them."""
+def _placed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, vid, label, crowded): the bands of ``met`` with several components by ``labels`` (vid, label); crowded have many pairs across."""
     placed = materialize(met.select("key", "vid").join(labels, "vid", "left").withColumn("label", F.coalesce("label", "vid")), "near-placed")
     parts = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     bands_of = parts.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("parts"))
-    few = bands_of.where("parts > 1").where((F.col("m") * F.col("m") - F.col("inside")) / 2 <= ACROSS * F.col("m"))
-    held = placed.join(few.select("key"), "key")
+    crowded = (F.col("m") * F.col("m") - F.col("inside")) / 2 > ACROSS * F.col("m")
+    return placed.join(bands_of.where("parts > 1").select("key", crowded.alias("crowded")), "key")
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """Pairs (u, v) of one band in different components, of the bands that have few of them."""
+    held = placed.where("not crowded")
     a, b = (held.select("key", F.col("vid").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
     return a.join(b, "key").where("u < v and lu <> lv").select("u", "v")
 
 
-def _linked(found: DataFrame, met: DataFrame, candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _joined(cell: pa.Table, threshold: float) -> pa.Table:
+    """(u, v): links between the one or two blocks of ``cell`` (block, vid, label, s), enough of them to connect its labels."""
+    block, vid, label = (cell.column(c).to_numpy() for c in ("block", "vid", "label"))
+    lists = pa.concat_arrays(cell.column("s").chunks)
+    size = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(vid)), size)
+    kinds, col = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    first, last = block == block.min(), block == block.max()
+    one = block.min() == block.max()
+    held = [np.bincount(col[side[row]], minlength=len(kinds)) for side in (first, last)]
+    shared = np.minimum(*held) > one  # other columns add nothing
+    keep = shared[col]
+    row, col = row[keep], (np.cumsum(shared) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    a, b = np.flatnonzero(first), np.flatnonzero(last)
+    both = np.zeros((len(a), len(b)), np.float32)  # whole numbers below 2 ** 24
+    for at in range(0, int(shared.sum()), WIDE):
+        lo, hi = np.searchsorted(col, (at, at + WIDE))
+        has = np.zeros((len(vid), WIDE), np.float32)
+        has[row[lo:hi], col[lo:hi] - at] = 1
+        both += has[a] @ has[b].T
+    near = both / (size[a][:, None] + size[b][None, :] - both.astype(np.float64)) >= threshold
+    near &= label[a][:, None] != label[b][None, :]
+    root, links = {}, []
+
+    def find(x):
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    for i, j in np.argwhere(np.triu(near) if one else near):
+        i, j = a[i], b[j]
+        x, y = find(label[i]), find(label[j])
+        if x != y:
+            root[x] = y
+            links.append((vid[i], vid[j]))
+    u, v = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+
+def _crowds(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) across components of the crowded bands, all their pairs compared block by block, up to connection."""
+    named = placed.where("crowded").select("key", "vid", "label")
+    weighed = named.join(sets.select("vid", F.size("s").alias("z")), "vid").groupBy("key").agg(F.count("*").alias("m"), F.sum("z").alias("z"))
+    blocks = weighed.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("z") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = named.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = dealt.withColumn("other", other).join(sets, "vid").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vid", "label", "s")
+    return cells.groupBy("key", "i", "j").applyInArrow(lambda cell: _joined(cell, threshold), "u long, v long")
+
+
+def _linked(found: DataFrame, met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(vid, label) of the components of ``found`` links, completed across components until no band adds one."""
     while True:
         labels = materialize(connected_components(found).withColumnRenamed("node", "vid"), "near-labels")
-        new = materialize(_verified(_sharing(_across(met, labels), candidates), sets, threshold), "near-new")
+        placed = materialize(_placed(met, labels), "near-bands")
+        new = materialize(_verified(_ordered(_across(placed)), sets, threshold), "near-new")
         if new.isEmpty():
-            return labels
+            break
         found = found.unionByName(new)
+    new = materialize(_crowds(placed, sets, threshold), "near-crowds")
+    if new.isEmpty():
+        return labels
+    return materialize(connected_components(found.unionByName(new)).withColumnRenamed("node", "vid"), "near-labels")
 
 
 def near_dedup(docs: DataFrame, threshold: float = JACCARD, prints: int = PRINTS) -> DataFrame:
@@ -208,10 +266,11 @@ def near_dedup(docs: DataFrame, threshold: float = JACCARD, prints: int = PRINTS
     each = classes.select("vid", F.explode("bands").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(each.join(shared, "key"), "near-met")
-    candidates = materialize(classes.join(met.select("vid"), "vid", "left_semi"), "near-candidates")
+    pairs = materialize(_ordered(_few(retrieved(classes)).unionByName(_pivoted(met))), "near-pairs")
+    some = [met.select("vid"), *(pairs.select(F.col(c).alias("vid")) for c in "uv")]
+    candidates = classes.join(reduce(DataFrame.unionByName, some).distinct(), "vid", "left_semi")
     sets = materialize(_sets(docs, candidates.select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row"), "vid")), "near-sets")
-    pairs = _sharing(_few(retrieved(classes)).unionByName(_pivoted(met)), candidates)
-    labels = _linked(materialize(_verified(pairs, sets, threshold), "near-links"), met, candidates, sets, threshold)
+    labels = _linked(materialize(_verified(pairs, sets, threshold), "near-links"), met, sets, threshold)
     labelled = classes.select("vid", "first").join(labels, "vid", "left").groupBy(F.coalesce("label", "vid").alias("label")).agg(F.min("first").alias("first"))
     keep = materialize(labelled.select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row")), "near-keep")
     whole = _keyed(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__all"))
