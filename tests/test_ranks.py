@@ -68,3 +68,17 @@ def test_excluded_median(spark):
     df = spark.createDataFrame([([(1.0, "a"), (2.0, "b"), (4.0, "b"), (9.0, "c")],)], "xs array<struct<value:double,group:string>>")
     ask = lambda *g: df.select(ranks.excluded_median(F.col("xs"), [F.lit(x) for x in g]).alias("m")).first().m
     assert ask("q") == 3.0 and ask("a") == 4.0 and ask("b") == 5.0 and ask("a", "b") == 9.0 and ask("a", "b", "c") is None or ask("c") == 2.0
+
+
+def test_whole_columns_share_their_passes(spark):
+    df = spark.range(30000).select(F.sin("id").alias("a"), (F.col("id") % 7).alias("b"), F.when(F.col("id") % 3 == 0, F.exp(F.sqrt("id"))).alias("c"), F.lit(None).cast("double").alias("d"), F.lit(2.5).alias("e"))
+    shares = [0.0, 0.25, 0.5, 0.99, 1.0]
+    want = ranks.column_quantiles(df, df.columns, shares)
+    spark.sparkContext.setJobGroup("whole-columns", "")
+    try:
+        got = ranks.column_quantiles(df, df.columns, shares, small=0)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("whole-columns"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got["d"] == want["d"] == [None] * 5 and all(got[c] == pytest.approx(want[c], rel=1e-12) for c in "abce")
+    assert jobs <= 20  # one scan for the ends, then one a pass for all columns

@@ -11,6 +11,8 @@ less the group's own, out of the same passes.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from vigilo.session import materialize
 BUCKETS = 1 << 16
 #: Rows up to which ``column_quantiles`` lets one aggregation hold a column's values.
 SMALL = 2_000_000
+#: Parts of a range of ``column_quantiles``; their counts reach the driver.
+PARTS = 1 << 12
 MOST_PASSES = 200
 
 
@@ -27,7 +31,7 @@ def _finite(df: DataFrame, value: str, keep: list[str]) -> DataFrame:
     return df.where(x.isNotNull() & ~F.isnan(x)).select(*keep, x.alias("__v"))
 
 
-def _bucket(v: Column, lo: Column, hi: Column) -> Column:
+def _bucket(v: Column, lo: Column, hi: Column, buckets: int = BUCKETS) -> Column:
     """The part of the range lo < hi that holds ``v``; it never falls as the value rises.
 
     Parts are even in the logarithm where the range has one sign, so that a few huge values don't leave all others in
@@ -40,7 +44,7 @@ def _bucket(v: Column, lo: Column, hi: Column) -> Column:
     wide = hi - lo == F.lit(float("inf"))
     even = F.when(wide, part(v / 2, lo / 2, hi / 2)).otherwise(part(v, lo, hi))
     share = F.coalesce(F.when(lo > 0, up).when(hi < 0, down), even)
-    return F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * BUCKETS).cast("int")
+    return F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * buckets).cast("int")
 
 
 def order_statistics(df: DataFrame, value: str, targets: DataFrame, by: list[str] = (), without: str | None = None) -> DataFrame:
@@ -113,16 +117,57 @@ def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] = ()
     return out.select(*by, *own, "n", "share", value_at.alias("quantile"))
 
 
+def _at_ranks(rows: DataFrame, wanted: dict[str, set[int]], ends: dict[str, tuple[float, float, int]]) -> dict[tuple[str, int], float]:
+    """(column, rank) with the order statistic of each wanted rank; ``ends`` has least, largest and number of a column's values.
+
+    All open ranges of all columns are counted in one scan a pass; ``PARTS`` counts of each reach the driver.
+    """
+    found = {}
+    state = [(c, r, ends[c][0] if r < ends[c][2] - 1 else ends[c][1], ends[c][1] if r else ends[c][0], 0) for c, ranks in wanted.items() for r in ranks]
+    for _ in range(MOST_PASSES):
+        found |= {(c, r): lo for c, r, lo, hi, _ in state if lo == hi}
+        state = [x for x in state if x[2] < x[3]]
+        if not state:
+            return found
+        ranges = sorted({(c, lo, hi) for c, _, lo, hi, _ in state})
+        cells = []
+        for k, (c, lo, hi) in enumerate(ranges):
+            v = F.col(c)
+            cell = F.struct(F.lit(k).alias("k"), _bucket(v, F.lit(lo), F.lit(hi), PARTS).alias("bucket"), v.alias("v"))
+            cells.append(F.when((v >= lo) & (v <= hi), cell))
+        held = rows.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+        counts = {k: [] for k in range(len(ranges))}
+        for row in held.groupBy("k", "bucket").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("k", "bucket").collect():
+            counts[row.k].append(row)
+        narrowed = []
+        for c, r, lo, hi, below in state:
+            for row in counts[ranges.index((c, lo, hi))]:
+                if r < below + row.n:
+                    narrowed.append((c, r, row.a, row.b, below))
+                    break
+                below += row.n
+        state = narrowed
+    raise RuntimeError("ranks did not settle")
+
+
 def column_quantiles(df: DataFrame, columns: list[str], shares: list[float], small: int = SMALL) -> dict[str, list[float | None]]:
-    """The quantiles of whole columns, for fits: a few numbers.  One aggregation for up to ``small`` rows, else counting passes."""
-    if df.count() <= small:
-        got = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, shares))).alias(f"q{k}") for k, c in enumerate(columns))).first()
+    """The quantiles of whole columns, for fits: a few numbers.  One aggregation for up to ``small`` rows, else counting passes over all columns at once."""
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    real = {c: F.when(~F.isnan(c), F.col(c)) for c in columns}
+    stats = [f(x).alias(f"{n}{k}") for k, x in enumerate(real.values()) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))]
+    ends = rows.agg(F.count("*").alias("rows"), *stats).first()
+    if ends["rows"] <= small:
+        got = rows.agg(*(F.percentile(c, F.array(*map(F.lit, shares))).alias(f"q{k}") for k, c in enumerate(columns))).first()
         return {c: list(got[k]) if got[k] is not None else [None] * len(shares) for k, c in enumerate(columns)}
-    out = {}
-    for c in columns:  # the columns of a model
-        found = {r.share: r.quantile for r in quantiles(df, c, shares).collect()}
-        out[c] = [found.get(float(s)) for s in shares]
-    return out
+    held = {c: (ends[f"a{k}"], ends[f"b{k}"], ends[f"n{k}"]) for k, c in enumerate(columns) if ends[f"n{k}"]}
+    at = {c: [((n - 1) * float(s)) for s in shares] for c, (_, _, n) in held.items()}
+    found = _at_ranks(rows.select(*(x.alias(c) for c, x in real.items())), {c: {r for x in xs for r in (math.floor(x), math.ceil(x))} for c, xs in at.items()}, held)
+
+    def between(c: str, x: float) -> float:
+        low, part = math.floor(x), x - math.floor(x)
+        return (1 - part) * found[c, low] + part * found[c, low + 1] if part else found[c, low]
+
+    return {c: [between(c, x) for x in at[c]] if c in at else [None] * len(shares) for c in columns}
 
 
 def excluded_median(values: Column, out: list[Column]) -> Column:
