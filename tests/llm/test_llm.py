@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vigilo.llm import bpe, chat, components, licenses, nearcopies, orc_tokens, packing, quality_cnn, quality_rules, queries, sharding, simhash, spotsigs
+from vigilo.llm import bpe, chat, common, components, licenses, nearcopies, orc_tokens, packing, quality_cnn, quality_rules, queries, sharding, simhash, spotsigs
 from vigilo.llm.wordbpe import WordEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -110,6 +111,45 @@ def test_measure_equals_brute_force(t):
     assert quality_rules.measure(t)[:5] == brute_measure(t)
 
 
+def test_long_texts_measure_as_short_ones():
+    rng = np.random.default_rng(4)
+    words = [f"w{k}é#" if k % 50 == 0 else f"Wort{k}" for k in rng.integers(0, 30_000, 160_000)]
+    passage = [*words[500:900], "same same same \x0b\f  same"]
+    lines = [" ".join(words[k : k + 12]) for k in range(0, len(words), 12)]
+    text = "\n".join([*lines, " ".join(passage), *lines[:300], "", " \t", " ".join(passage), "no no"])
+    assert len(text) > common.SPAN
+    tracemalloc.start()
+    got = quality_rules.measure(text)
+    held = nearcopies.shingles(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(text), peak / len(text)
+    assert got[:5] == brute_measure(text) and got[4] > 800
+    flat = re.findall(r"[^\x20\x09-\x0D]+", text)
+    assert got[5] == sum(1 for x in text.split("\n") if x.strip(" \t\x0b\f\r")) and got[7] == sum(a == b for a, b in zip(flat, flat[1:]))
+    low = [w.encode().lower() for w in flat]
+    assert set(held.tolist()) == {xxhash.xxh64_intdigest(b" ".join(low[i : i + 5])) for i in range(len(low) - 4)}
+    blank = " \n" * common.SPAN
+    assert quality_rules.measure(blank) == (0,) * 9 and not len(nearcopies.shingles(blank))
+    assert quality_rules.measure(blank + "one word\none word") == (4, 14, 0, 1, 0, 2, 0, 0, 0)
+
+
+def test_rows_cross_to_python_with_one_text(spark):
+    """The first two stages of the pipeline send a row's text once to Python."""
+    docs = spark.createDataFrame([(1, "x" * 1000, "en")], "doc_id long, text string, lang string")
+    model = quality_cnn.train([], [], 0.5)
+    for kept in (quality_cnn.keep_documents(docs, model, 0.0), quality_rules.keep_documents(docs, [])):
+        mapped = next(x for x in _nodes(kept._jdf.queryExecution().analyzed()) if x.nodeName() == "MapInArrow")
+        assert kept.columns == docs.columns and mapped.children().head().schema().sql().count("STRING") == 2  # text and lang
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for k in range(children.size()):
+        yield from _nodes(children.apply(k))
+
+
 def test_rules_keep_columns_and_rows(spark, docs, real):
     got = quality_rules.judge(real, []).collect()
     want = texts_of(real)

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of a text whose words are listed at once.
+SPAN = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,6 +67,16 @@ def spared(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumnsRenamed(moved) if moved else df
 
 
+def spans(data: bytes, size: int = SPAN) -> Iterator[list[bytes]]:
+    """The words of ``data`` between the six ASCII blanks, in order, those of some ``size`` bytes at a time."""
+    at = 0
+    while at < len(data):
+        blank = _BLANK.search(data, at + size)
+        end = blank.start() if blank else len(data)
+        yield data[at:end].split()
+        at = end
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import materialize
+from vigilo.llm.common import materialize, spans
 from vigilo.llm.components import connected_components
 from vigilo.llm.simhash import links
 
@@ -51,17 +51,20 @@ MARKS = b".,;:!?"
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct XXH64 of each run of ``width`` words; fewer words: one shingle; no words: none."""
-    words = text.encode().lower().split() if text else []  # bytes: only A-Z and the six ASCII blanks count
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64)
-    sizes = [len(w) + 1 for w in words]
-    ends = list(accumulate(sizes))
-    starts = [0, *ends]
-    h = (xxhash.xxh64_intdigest(joined[a : b - 1]) for a, b in zip(starts, ends[width - 1 :]))
-    return np.unique(np.fromiter(h, np.uint64, len(words) - width + 1))
+    held, words = [], []
+    for part in spans(text.encode().lower() if text else b""):  # bytes: only A-Z and the six ASCII blanks count
+        words += part
+        if len(words) < width:
+            continue
+        joined = b" ".join(words)
+        ends = list(accumulate(len(w) + 1 for w in words))
+        starts = [0, *ends]
+        h = (xxhash.xxh64_intdigest(joined[a : b - 1]) for a, b in zip(starts, ends[width - 1 :]))
+        held.append(np.fromiter(h, np.uint64, len(words) - width + 1))
+        words = words[len(words) - width + 1 :]
+    if not held:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64)
+    return np.unique(np.concatenate(held))
 
 
 def word_prints(text: str | None, prints: int = PRINTS) -> np.ndarray:
@@ -69,7 +72,9 @@ def word_prints(text: str | None, prints: int = PRINTS) -> np.ndarray:
 
     Edits touch few of a text's words and leave most bits; the root keeps frequent words from deciding alone.
     """
-    counts = Counter(w.strip(MARKS) for w in text.encode().lower().split()) if text else Counter()
+    counts: Counter[bytes] = Counter()
+    for part in spans(text.encode().lower() if text else b""):
+        counts.update(w.strip(MARKS) for w in part)
     if not counts:
         return np.zeros(prints, np.int64)
     words, weights = list(counts), np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))

@@ -221,6 +221,16 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, with their columns as they were."""
-    held = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return score(held, model).where(F.col("quality_score") >= least).select("row.*")
+    """The rows of ``docs`` that score ``least`` or more, with their columns as they were.
+
+    The whole row travels in one struct, so no name of the input can clash, and its text only there.
+    """
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def apply(batches):
+        for batch in batches:
+            yield batch.append_column("quality_score", pa.array(score_texts(model, batch.column(0).field(at).to_pylist())))
+
+    scored = held.mapInArrow(apply, T.StructType([*held.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return scored.where(F.col("quality_score") >= least).select("row.*")
